@@ -156,6 +156,14 @@ def canonicalize(text: str | None) -> tuple[str | None, tuple[str, ...]]:
     return "".join(out), tuple(x for x in KINDS if x in found)
 
 
+def plain_marks(text: str) -> str:
+    """Without invisible characters, with ordinary spaces and composed accents."""
+    if text.isascii():
+        return text
+    k = _classes()
+    return unicodedata.normalize("NFC", k["space"].sub(" ", k["invisible"].sub("", text)))
+
+
 def letters_map(text: str) -> tuple[str, list[int]]:
     """Character-wise canonical text with the offset of each character in ``text``.
 

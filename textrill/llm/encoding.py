@@ -14,8 +14,8 @@ only when a garbling cost drops.
   repaired when the restored word is at least ``RATIO`` times as frequent as the
   stored one.
 
-Word counts are kept in a table of ``BUCKETS`` hashed counters, whatever the
-size of the corpus, so the broadcast has a proven bound (16 MB).
+Word counts are kept in a count-min sketch of ``ROWS`` x ``BUCKETS`` counters,
+whatever the size of the corpus, so the broadcast has a proven bound (16 MB).
 
 Null and empty texts are returned unchanged with no layers. Characters lost for
 good (U+FFFD) mark the row as garbled; the mark stays where the corpus holds no
@@ -26,18 +26,22 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from functools import lru_cache
 
 import numpy as np
+import xxhash
+
+from textrill.llm import canonical
 
 BUCKETS = 1 << 20
+ROWS = 4
 RATIO = 12.0
+SEQUENCE = 4.0
 LEAST = 4
 MAX_LAYERS = 4
 LEGACY = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859_15", "cp1254", "cp1257", "koi8_r", "cp866")
 # (decoded as, should have been)
-PAIRS = tuple((b, a) for b in ("cp1252", "cp850", "cp437", "cp1251", "mac_roman", "cp1250", "cp866", "koi8_r", "cp1253") for a in ("cp1252", "mac_roman", "cp850") if a != b)
+PAIRS = tuple((b, a) for b in ("cp1252", "cp850", "cp437", "cp1251", "mac_roman", "cp1250") for a in ("cp1252", "mac_roman", "cp850") if a != b)
 # Characters that garbled text is expected to have held, besides Latin letters.
 TYPOGRAPHY = "–—‘’‚“”„†‡•…‰‹›€™ \xa0¡¢£¤¥¦§¨©ª«¬\xad®¯°±²³´µ¶·¸¹º»¼½¾¿×÷"
 
@@ -106,50 +110,53 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+def buckets(word: str) -> list[int]:
+    """One counter of each row of the sketch, as positions in the flattened table."""
+    h = xxhash.xxh3_128_intdigest(word.encode("utf-8", "surrogatepass"))
+    return [((h >> (20 * r)) & (BUCKETS - 1)) + r * BUCKETS for r in range(ROWS)]
 
 
 class WordCounts:
-    """Hashed counters of the corpus's words with non-ASCII letters."""
+    """Counters of the corpus's words with non-ASCII letters."""
 
     def __init__(self, table: np.ndarray):
         self.table = table
 
     def of(self, word: str) -> int:
-        return int(self.table[bucket(word.lower())])
+        t = self.table
+        return int(min(t[b] for b in buckets(word.lower())))
 
-    def cost(self, text: str) -> tuple[float, int]:
+    def cost(self, text: str) -> float:
         """Garbling cost of a token: minus log counts of its non-ASCII words, plus a charge for misplaced characters."""
-        total, known = 0.0, 0
-        words = _LETTERS.findall(text)
-        for w in words:
+        total = 0.0
+        for w in _LETTERS.findall(text):
             if w.isascii():
                 continue
-            n = self.of(w)
-            known += n >= LEAST
-            total -= math.log(n + 0.5)
+            total -= math.log(self.of(w) + 0.5)
             inner = w[1:]
             if inner != inner.lower() and inner != inner.upper():
                 total += 2.0  # capitals inside a word
         for i, c in enumerate(text):
             if c.isascii() or c.isalpha() or c in "“”‘’«»–—…¿¡·":
                 continue
-            before = text[i - 1 : i].isalpha()
-            after = text[i + 1 : i + 2].isalpha()
-            total += 3.0 if before or after else 0.5
-        return total, known
+            total += 3.0 if text[i - 1 : i].isalpha() or text[i + 1 : i + 2].isalpha() else 0.5
+        return total
+
+    def all_known(self, text: str) -> bool:
+        """Whether the text has non-ASCII words and the corpus has them all, none of them a lone letter."""
+        words = [w for w in _LETTERS.findall(text) if not w.isascii()]
+        return bool(words) and all(len(w) > 2 and w[1:] in (w[1:].lower(), w[1:].upper()) and self.of(w) >= LEAST for w in words)
 
 
-def count_words(text: str | None, into: dict[int, int]) -> None:
-    """Add the non-ASCII words of a text to a map of bucket to count."""
+def count_words(text: str | None, into: dict[str, int]) -> None:
+    """Add the non-ASCII words of a text to a map of word to count."""
     if not text or text.isascii():
         return
     for token in _TOKEN.findall(text):
         for w in _LETTERS.findall(token):
             if not w.isascii():
-                b = bucket(w.lower())
-                into[b] = into.get(b, 0) + 1
+                w = w.lower()
+                into[w] = into.get(w, 0) + 1
 
 
 class Repairer:
@@ -160,35 +167,39 @@ class Repairer:
         self.memory = memory
         self.seen: dict[str, tuple[str, str] | None] = {}
 
-    def _token(self, token: str) -> tuple[str, str] | None:
-        """The repaired token and how, or None where it is kept."""
-        text, layers = token, []
+    def _nested(self, token: str) -> tuple[str, str] | None:
+        """Layers of UTF-8 read as a legacy encoding undone, if the garbling cost drops."""
+        text, layers, pieces = token, [], 0
         for _ in range(MAX_LAYERS):
             best = None
             for (pattern, back), name in zip(_utf8_rules(), (*LEGACY, "latin_1")):
                 new, n = _undo_utf8(text, pattern, back)
-                if n and (best is None or (self.counts.cost(new)[0], len(new)) < best[0]):
-                    best = ((self.counts.cost(new)[0], len(new)), new, name)
+                if n and (best is None or (self.counts.cost(new), len(new)) < best[0]):
+                    best = ((self.counts.cost(new), len(new)), new, name, n)
             if best is None:
                 break
-            before = self.counts.cost(text)[0]
-            # a shorter text with as good or better words; ill-placed characters make up the rest
-            if best[0][0] > before + 1e-9:
-                break
-            text, layers = best[1], [*layers, f"{best[2]}>utf-8"]
-        if layers:
+            text, layers, pieces = best[1], [*layers, f"{best[2]}>utf-8"], max(pieces, best[3])
+        # each well-formed sequence is itself a garbling charge of the stored token
+        if layers and self.counts.cost(text) < self.counts.cost(token) + SEQUENCE * pieces:
             return text, "+".join(layers)
-        if "�" in token:
-            return None
-        before, _ = self.counts.cost(token)
+        return None
+
+    def _token(self, token: str) -> tuple[str, str] | None:
+        """The repaired token and how, or None where it is kept."""
+        if (found := self._nested(token)) or "\ufffd" in token:
+            return found
+        plain = canonical.plain_marks(token)
+        before = self.counts.cost(plain)
         best = None
         for wrong, right, moves in _pair_tables():
-            new = token.translate(moves)
-            if new == token or any("\x80" <= c <= "\x9f" for c in new):
+            new = plain.translate(moves)
+            if new == plain or any("\x80" <= c <= "\x9f" for c in new) or not self.counts.all_known(new):
                 continue
-            after, known = self.counts.cost(new)
-            if known and after < before - math.log(RATIO) and (best is None or after < best[0]):
-                best = (after, new, f"{wrong}>{right}")
+            if any(ord(c) in moves and c.isalpha() and not moves[ord(c)].isalpha() for c in plain):
+                continue
+            after = self.counts.cost(new)
+            if after < before - math.log(RATIO) and (best is None or after < best[0]):
+                best = (after, token.translate(moves), f"{wrong}>{right}")
         return (best[1], best[2]) if best else None
 
     def token(self, token: str) -> tuple[str, str] | None:
@@ -203,16 +214,25 @@ class Repairer:
         """The repaired text, the layers undone, and how many tokens were garbled (lost characters included)."""
         if not text or text.isascii():
             return text, [], 0
-        out, at, how, n = [], 0, {}, 0
-        for m in _TOKEN.finditer(text):
-            token = m.group()
-            fixed = self.token(token)
-            if fixed is None:
-                n += "�" in token
-                continue
-            n += 1
-            how[fixed[1]] = how.get(fixed[1], 0) + 1
-            out += [text[at : m.start()], fixed[0]]
-            at = m.end()
+        spans = [(m.start(), m.end(), m.group(), self.token(m.group())) for m in _TOKEN.finditer(text)]
+        how: dict[str, int] = {}
+        for *_, fixed in spans:
+            if fixed:
+                how[fixed[1]] = how.get(fixed[1], 0) + 1
+        lost = sum("\ufffd" in t for _, _, t, fixed in spans if not fixed)
+        if not how:
+            return text, [], lost
+        # a passage decoded wrongly has one cause: it also explains tokens without evidence of their own
+        cause = max(sorted(how), key=how.get)
+        moves = next((m for w, r, m in _pair_tables() if f"{w}>{r}" == cause), None)
+        out, at = [], 0
+        for start, end, token, fixed in spans:
+            if fixed is None and moves is not None:
+                new = token.translate(moves)
+                if new != token and all(_expected(c) or c.isascii() for c in new) and self.counts.cost(new) < self.counts.cost(token):
+                    fixed = (new, cause)
+            if fixed:
+                out += [text[at:start], fixed[0]]
+                at = end
         out.append(text[at:])
-        return "".join(out), sorted(how), n
+        return "".join(out), sorted(how), sum(how.values()) + lost
