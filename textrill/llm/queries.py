@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textrill.llm import language, neardup, repair
+from textrill.llm import language, neardup, pii, repair
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "p1_found": language.p1_found,
         "p1_rows": language.p1_rows,
         "p1_segments": language.p1_segments,
+        "p2_found": pii.p2_found,
+        "p2_sanitised": pii.p2_sanitised,
+        "p2_terms": pii.p2_terms,
         "p3_found": repair.p3_found,
         "p3_repaired": repair.p3_repaired,
         "p4_found": repair.p4_found,
