@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textrill.llm import language, neardup, pii, repair
+from textrill.llm import language, mixing, neardup, packing, pii, reading, repair
 
 
 def queries() -> dict:
@@ -19,6 +19,13 @@ def queries() -> dict:
         "p4_canonical": repair.p4_canonical,
         "p5_found": neardup.p5_found,
         "p5_groups": neardup.p5_groups,
+        "p6_packed": packing.p6_packed,
+        "p6_report": packing.p6_report,
+        "p7_mixture": mixing.p7_mixture,
+        "p7_report": mixing.p7_report,
+        "p8_found": reading.p8_found,
+        "p8_levels": reading.p8_levels,
+        "p8_profile": reading.p8_profile,
     }
 
 
