@@ -393,11 +393,12 @@ def disclosing_terms(statistics: DataFrame, share: float = DISCLOSURE) -> DataFr
     of capitals named the person, so that the term alone is enough. A term mostly written in lower
     case where texts have capitals is no name.
     """
-    names = ("n", "slots", "pairs", "plain_n", "plain_slots")
-    totals = statistics.filter("term = ''").select(*[F.col(k).alias("all_" + k) for k in names])
-    rows = statistics.filter("term <> '' AND slots + pairs + plain_slots > 0").crossJoin(F.broadcast(totals))  # one row of totals
+    totals = statistics.filter("term = ''").first()
+    seen = (totals["n"] or 0) + (totals["plain_n"] or 0) if totals else 0
+    slots = sum(totals[k] or 0 for k in ("slots", "pairs", "plain_slots")) if totals else 0
+    prior = F.lit(min(max(slots, 1) / max(seen, 2), 0.5))
+    rows = statistics.filter("term <> '' AND slots + pairs + plain_slots > 0")
     in_slot = F.when(F.col("n") > 0, F.least(F.col("slots") + F.col("pairs"), "n") / F.col("n")).otherwise(F.least("plain_slots", "plain_n") / F.col("plain_n"))
-    prior = (F.col("all_slots") + F.col("all_pairs") + F.col("all_plain_slots")) / (F.col("all_n") + F.col("all_plain_n"))
     scored = rows.withColumn("bits", F.log2(in_slot / prior)).withColumn("full", -F.log2(prior))
     named = F.col("slots") + F.col("plain_slots")
     strong = F.when((named > 1) | ((named == 1) & (F.col("n") + F.col("plain_n") <= 3)), 2).otherwise(1)
