@@ -9,10 +9,11 @@
    hash to it. The number of ones in the XOR of two sketches estimates the size
    of the symmetric difference, and so the similarity, most precisely where it is high.
 3. Representatives that agree in all ``DEPTH`` values of one of ``BANDS`` bands
-   become candidates. Only the band keys and the sketch travel; pairs whose
+   become candidates. An aggregation over the band keys gives the pair of a key
+   that two rows share; only keys of three rows or more are joined with their
+   rows, and those that very many rows share are split into blocks, and blocks
+   compared with blocks, so no task holds a whole group. Candidates whose
    sketches put the similarity under the threshold less ``SLACK`` end there.
-   A band key that very many rows share is split into blocks, and blocks are
-   compared with blocks, so no task holds a whole group.
 4. What remains is compared exactly, on the shingle sets.
 
 A pair at similarity s is a candidate with probability 1-(1-s^DEPTH)^BANDS:
@@ -44,6 +45,7 @@ DEPTH = 4
 BITS = 256
 SLACK = 0.2
 BLOCK = 512
+BROADCAST_ROWS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -164,20 +166,43 @@ def _ones(a: str, b: str, words: int):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, words)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Marks a materialized table for broadcast if it has few rows; otherwise it is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """(a_id, b_id): pairs that share a band key and whose sketches come near enough; each pair once."""
+    banded = reps.select("id", F.explode("bands").alias("band"))
+    shared = materialize(banded.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("a_id"), F.max("id").alias("b_id")).filter("size > 1"), "p5-bands")
+    crowded = small(materialize(shared.filter("size > 2").select("band"), "p5-crowded"))
+    more = pairs_within(materialize(banded.join(crowded, "band"), "p5-rows"), "band", "id", [])
+    return shared.filter("size = 2").select("a_id", "b_id").unionAll(more.select("a_id", "b_id")).distinct()
+
+
 def links(found: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, links): id with its class representative rep; and pairs rep_a < rep_b of representatives with their similarity.
 
     ``found`` is a materialized result of ``features``.
     """
     first = found.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    members = found.select("id", "class").join(first, "class").select("id", "rep", "copies")
-    reps = found.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
-    banded = reps.select("id", F.col("sketch"), F.explode("bands").alias("band"))
-    near = pairs_within(banded, "band", "id", ["sketch"]).filter(_ones("a_sketch", "b_sketch", BITS // 64) <= most_ones(threshold - SLACK)).select("a_id", "b_id").distinct()
-    sets = reps.select("id", "n", "shingles")
+    members = materialize(found.select("id", "class").join(first, "class").select("id", "rep", "copies"), "p5-members")
+    copies = small(materialize(members.filter("id <> rep").select("id"), "p5-copies"))
+    reps = found.join(copies, "id", "left_anti")
+    sketches = reps.select("id", "sketch")
+    near = (
+        candidates(reps)
+        .join(sketches.toDF("a_id", "a_sketch"), "a_id")
+        .join(sketches.toDF("b_id", "b_sketch"), "b_id")
+        .filter(_ones("a_sketch", "b_sketch", BITS // 64) <= most_ones(threshold - SLACK))
+        .select("a_id", "b_id")
+    )
+    near = materialize(near, "p5-near")
+    wanted = small(materialize(near.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "p5-wanted"))
+    sets = reps.select("id", "n", "shingles").join(wanted, "id", "left_semi")
     exact = (
-        near.join(sets.select(F.col("id").alias("a_id"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a_id")
-        .join(sets.select(F.col("id").alias("b_id"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b_id")
+        near.join(sets.toDF("a_id", "na", "sa"), "a_id")
+        .join(sets.toDF("b_id", "nb", "sb"), "b_id")
         .withColumn("both", F.size(F.array_intersect("sa", "sb")))
         .withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
         .filter(F.col("similarity") >= threshold)
