@@ -74,43 +74,52 @@ def unit_hits(units: DataFrame, post: DataFrame) -> DataFrame:
     return single.unionAll(starts.groupBy("words", "prefix", "doc_id").agg(F.count("*").alias("tf")))
 
 
+def facts_of(docs: DataFrame, access: DataFrame, tags: DataFrame) -> DataFrame:
+    """(doc_id, modified, tokens, metas): what decides whether a request may and wants to see a document, one row each."""
+    tokens = access.groupBy("doc_id").agg(F.collect_set("token").alias("tokens"))  # a document's own tokens, not a token's documents
+    metas = tags.filter("kind = 'meta'").groupBy("doc_id").agg(F.collect_set("value").alias("metas"))
+    return docs.select(F.col("id").alias("doc_id"), "modified").join(tokens, "doc_id").join(metas, "doc_id", "left")
+
+
+def _admitted() -> str:
+    return "arrays_overlap(tokens, viewer_tokens) AND (since_n IS NULL OR modified >= since_n) AND (until_n IS NULL OR modified <= until_n) AND (size(wanted) <= 0 OR coalesce(arrays_overlap(metas, wanted), false))"
+
+
 def search(requests: DataFrame, docs: DataFrame, access: DataFrame, tags: DataFrame, post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(request_id, id, score) of everything each request finds, access and tags applied; refused requests find nothing."""
-    units = materialize(units_of(requests), "batch-units")
-    hits = materialize(unit_hits(units, post), "batch-hits")
+    """(request_id, id, score) of everything each request finds, access and tags applied; refused requests find nothing.
+
+    Distinct units are matched once, however many requests share them. Whether a request
+    admits a document is decided on the joined row, before anything is grouped.
+    """
+    units = materialize(units_of(requests).withColumn("unit_key", F.concat(F.concat_ws(" ", "words"), F.when(F.col("prefix"), "*").otherwise(""))), "batch-units")
+    hits = materialize(unit_hits(units, post).withColumn("unit_key", F.concat(F.concat_ws(" ", "words"), F.when(F.col("prefix"), "*").otherwise(""))).select("unit_key", "doc_id", "tf"), "batch-hits")
+    facts = materialize(facts_of(docs, access, tags), "batch-facts")
     n_docs, avg_len = stats.agg(F.count("*"), F.avg("len")).first()
-    n = hits.groupBy("words", "prefix").agg(F.count("*").alias("n"))
+    n = hits.groupBy("unit_key").agg(F.count("*").alias("n"))
     raw = F.log((F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weighted = hits.join(n.withColumn("idf", F.when(raw > 0, raw).otherwise(IDF_FLOOR)), ["words", "prefix"]).join(stats, "doc_id")
     gain = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
-    gained = weighted.select("words", "prefix", "doc_id", gain.alias("gain"))
-    live = units.filter("NOT beyond AND NOT refused")
-    shape = live.groupBy("request_id").agg(F.sum((F.col("occur") == MUST).cast("int")).alias("musts"), F.sum((F.col("occur") == SHOULD).cast("int")).alias("shoulds"))
-    per = (
-        live.filter("unit >= 0")
-        .join(gained, ["words", "prefix"])
-        .groupBy("request_id", "doc_id")
-        .agg(
-            F.sum(F.when(F.col("occur") != MUST_NOT, F.col("gain")).otherwise(0.0)).alias("score"),
-            F.countDistinct(F.when(F.col("occur") == MUST, F.col("unit"))).alias("must_hits"),
-            F.countDistinct(F.when(F.col("occur") == SHOULD, F.col("unit"))).alias("should_hits"),
-            F.countDistinct(F.when(F.col("occur") == MUST_NOT, F.col("unit"))).alias("not_hits"),
-        )
+    gained = hits.join(n.withColumn("idf", F.when(raw > 0, raw).otherwise(IDF_FLOOR)), "unit_key").join(stats, "doc_id").select("unit_key", "doc_id", gain.alias("gain")).join(facts, "doc_id")
+    empty = F.array().cast("array<string>")
+    asks = requests.select(
+        "request_id",
+        token_column(viewer=F.col("viewer"), groups=F.col("groups"), circles=F.col("circles")).alias("viewer_tokens"),
+        F.filter(F.coalesce("meta_tags", empty), lambda x: x.isNotNull()).alias("wanted"),
     )
+    live = units.filter("NOT beyond AND NOT refused").join(asks, "request_id")
+    shape = live.groupBy("request_id").agg(F.sum((F.col("occur") == MUST).cast("int")).alias("musts"), F.sum((F.col("occur") == SHOULD).cast("int")).alias("shoulds"))
+    met = live.filter("unit >= 0").select("request_id", "unit", "unit_key", "occur", "viewer_tokens", "wanted", "since_n", "until_n").join(gained, "unit_key").filter(_admitted())
+
+    def of(occur: str):
+        # a request's units are distinct rows, and each meets a document once
+        return F.sum((F.col("occur") == occur).cast("int"))
+
+    per = met.groupBy("request_id", "doc_id").agg(F.sum(F.when(F.col("occur") != MUST_NOT, F.col("gain")).otherwise(0.0)).alias("score"), of(MUST).alias("must_hits"), of(SHOULD).alias("should_hits"), of(MUST_NOT).alias("not_hits"))
     matched = per.join(shape, "request_id").filter("must_hits = musts AND not_hits = 0 AND (shoulds = 0 OR should_hits > 0) AND musts + shoulds > 0")
-    viewers = requests.select("request_id", F.explode(token_column(viewer=F.col("viewer"), groups=F.col("groups"), circles=F.col("circles"))).alias("token"))
-    # what matched is narrowed to what the viewer may see; a browse starts from what the viewer may see
-    seen = matched.select("request_id", "doc_id", "score").join(access.select("doc_id", "token").distinct(), "doc_id").join(viewers, ["request_id", "token"], "left_semi").groupBy("request_id", "doc_id").agg(F.max("score").alias("score"))
-    browsing = live.filter("browse").select("request_id")
-    browsed = viewers.join(browsing, "request_id", "left_semi").join(access.select("doc_id", "token"), "token").select("request_id", "doc_id", F.lit(0.0).alias("score")).distinct()
-    # an access row may outlive its document
-    found = seen.unionAll(browsed).join(docs.select(F.col("id").alias("doc_id"), "modified"), "doc_id")
-    dates = live.select("request_id", "since_n", "until_n").distinct()
-    found = found.join(dates, "request_id").filter("(since_n IS NULL OR modified >= since_n) AND (until_n IS NULL OR modified <= until_n)")
-    with_tags = requests.filter("size(filter(meta_tags, x -> x IS NOT NULL)) > 0").select("request_id", F.explode("meta_tags").alias("value"))
-    tagged = found.join(with_tags.select("request_id").distinct(), "request_id", "left_semi").join(tags.filter("kind = 'meta'").select("doc_id", "value"), "doc_id").join(with_tags, ["request_id", "value"], "left_semi").select("request_id", "doc_id", "score").distinct()
-    free = found.join(with_tags.select("request_id").distinct(), "request_id", "left_anti").select("request_id", "doc_id", "score")
-    return tagged.unionAll(free).select("request_id", F.col("doc_id").alias("id"), F.round("score", DIGITS).alias("score"))
+    # a browse starts from what the viewer may see
+    browsing = live.filter("browse").select("request_id", "viewer_tokens", "wanted", "since_n", "until_n")
+    pairs = browsing.select("request_id", F.explode("viewer_tokens").alias("token")).join(access.select("doc_id", "token"), "token").select("request_id", "doc_id").distinct()
+    browsed = pairs.join(browsing, "request_id").join(facts, "doc_id").filter(_admitted()).select("request_id", "doc_id", F.lit(0.0).alias("score"))
+    return matched.select("request_id", "doc_id", "score").unionAll(browsed).select("request_id", F.col("doc_id").alias("id"), F.round("score", DIGITS).alias("score"))
 
 
 def pages(found: DataFrame, requests: DataFrame) -> DataFrame:
