@@ -734,6 +734,7 @@ class Reader:
         self.doc, self.sink, self.deadline = doc, sink, deadline
         self.fonts: dict = {}
         self.pages = self.unreadable = self.undecodable = 0
+        self.last = ""
 
     def font_set(self, resources: dict) -> dict:
         out = {}
@@ -750,8 +751,10 @@ class Reader:
         return out
 
     def newline(self) -> None:
-        if self.sink.last not in ("", "\n"):
+        """A line ends once, and never before the page's first text."""
+        if self.last not in ("", "\n"):
             self.sink.accept("\n")
+            self.last = "\n"
 
     def show(self, raw, font: Font | None) -> None:
         if not isinstance(raw, bytes) or not raw:
@@ -760,7 +763,9 @@ class Reader:
         if not text:
             self.undecodable += 1
             return
-        self.sink.accept(_printable(text))
+        text = _printable(text)
+        self.sink.accept(text)
+        self.last = text[-1]
         if self.sink.full:
             raise Full
 
@@ -807,16 +812,14 @@ class Reader:
 
     def page(self, page: dict, resources) -> None:
         self.pages += 1
+        self.last = ""
         contents = page.get("Contents")
         parts = self.doc.resolve(contents)
         refs = parts if isinstance(parts, list) else [contents]
         try:
             data = [s[1] for r in refs if (s := self.doc.stream(r))]
             if data:
-                before = self.sink.size
                 self.scan(b"\n".join(data), resources)
-                if self.sink.size > before:
-                    self.newline()
         except Abort as abort:
             if "time budget" in str(abort):
                 raise

@@ -556,6 +556,111 @@ def batch_totals(spark, d):
     return batch.totals(found, requests)
 
 
+# extraction, by round trip over every document
+
+
+def _round_trip(spark, d, make, extension: str):
+    """Every text written in a format and read again."""
+    import pyarrow as pa
+
+    from textrill.extract.dispatch import extract_files
+
+    def write(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f"{i}.{extension}" for i in b.column(0).to_pylist()]), pa.array([make(t) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "name", "content"])
+
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = docs.mapInArrow(write, "doc_id long, name string, content binary")
+    return extract_files(files, "name", "content", 64 << 20, None).select("doc_id", "text", "cause")
+
+
+_LINES = r"SELECT doc_id, {} AS text, NULL::VARCHAR AS cause FROM documents"
+# a text node of blanks only becomes one blank
+_BLANK_LINES = r"array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: CASE WHEN l <> '' AND regexp_full_match(l, '[ \t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*') THEN ' ' ELSE l END), chr(10)) || chr(10)".replace("\\\\", "\\")
+
+
+@query(_LINES.format(_BLANK_LINES))
+def extract_docx(spark, d):
+    from textrill.extract import samples
+
+    return _round_trip(spark, d, samples.docx, "docx")
+
+
+@query(_LINES.format(_BLANK_LINES))
+def extract_xlsx(spark, d):
+    from textrill.extract import samples
+
+    return _round_trip(spark, d, samples.xlsx_shared, "xlsx")
+
+
+@query(_LINES.format(_BLANK_LINES))
+def extract_pptx(spark, d):
+    from textrill.extract import samples
+
+    return _round_trip(spark, d, samples.pptx, "pptx")
+
+
+@query(_LINES.format(_BLANK_LINES))
+def extract_odt(spark, d):
+    from textrill.extract import samples
+
+    return _round_trip(spark, d, samples.odt, "odt")
+
+
+@query(_LINES.format(r"CASE WHEN regexp_replace(coalesce(text, ''), '\n', '', 'g') = '' THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(text, '^\n+', ''), '\n+', chr(10), 'g'), '\n$', '') || chr(10) END"))
+def extract_pdf(spark, d):
+    from textrill.extract import samples
+
+    return _round_trip(spark, d, samples.pdf, "pdf")
+
+
+@query(_LINES.format(r"array_to_string(list_filter(string_split(replace(coalesce(text, ''), chr(160), ' '), chr(10)), lambda l: l <> ''), chr(10)) || CASE WHEN regexp_replace(coalesce(text, ''), '\n', '', 'g') = '' THEN '' ELSE chr(10) END"))
+def extract_doc(spark, d):
+    from textrill.extract import samples
+
+    return _round_trip(spark, d, samples.doc, "doc")
+
+
+@query(_LINES.format("coalesce(text, '') || chr(10)"))
+def extract_ppt(spark, d):
+    from textrill.extract import samples
+
+    return _round_trip(spark, d, lambda t: samples.ppt([t.split("\n")]), "ppt")
+
+
+@query(r"""SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[^\P{C}\t\n\r]') THEN text END AS text, CASE WHEN regexp_matches(text, '[^\P{C}\t\n\r]') THEN 'unsupported' END AS cause FROM documents""")
+def extract_plain(spark, d):
+    from textrill.extract.dispatch import extract_files
+
+    docs = table(spark, d, "documents")
+    files = docs.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    return extract_files(files, "name", "content", 64 << 20).select("doc_id", "text", "cause")
+
+
+# streaming
+
+
+@query(_sql["replace_last_wins"])
+def stream_last_wins(spark, d):
+    """The change feed as a stream: the last operation of each document, kept batch by batch."""
+    import uuid
+
+    from textrill.runtime import shared_dir
+    from textrill.streaming.changes import latest
+
+    source = table(spark, d, "index_changes")
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # the feed as files that arrive one after another
+    source.repartitionByRange(4, "change_id").write.parquet(f"{folder}/feed")
+    changes = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    run = latest(changes, f"{folder}/state", f"{folder}/checkpoint")
+    run.awaitTermination()
+    last = run.lastProgress["batchId"] if run.lastProgress else 0
+    epochs = [p["batchId"] for p in run.recentProgress if p["numInputRows"] > 0]
+    state = spark.read.parquet(f"{folder}/state/{max(epochs, default=last)}")
+    return state.filter("op = 'index'").select("provider_id", "document_id", "change_id", "title", "modified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
