@@ -607,7 +607,7 @@ def extract_odt(spark, d):
     return _round_trip(spark, d, samples.odt, "odt")
 
 
-@query(_LINES.format(r"CASE WHEN regexp_replace(coalesce(text, ''), '\n', '', 'g') = '' THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(text, '^\n+', ''), '\n+', chr(10), 'g'), '\n$', '') || chr(10) END"))
+@query(_LINES.format(r"CASE WHEN regexp_replace(coalesce(text, ''), '\n', '', 'g') = '' THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\P{{C}}\t\n\r]', ' ', 'g'), '^\n+', ''), '\n+', chr(10), 'g'), '\n$', '') || chr(10) END").replace("{{", "{").replace("}}", "}"))
 def extract_pdf(spark, d):
     from textrill.extract import samples
 
