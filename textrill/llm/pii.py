@@ -112,7 +112,7 @@ _CUE_WORDS = frozenset(w for cue in CUES for w in re.findall(r"[^\W\d_]+", cue))
 
 # Forms of address and words that end a slot; particles inside names.
 TITLES = frozenset(
-    "sr sra srta dr dra mr mrs ms miss mx herr frau fraulein m mme mlle me don dona dna d professor professora profesor profesora senyor senyora senor senora professeur professeure monsieur madame mademoiselle prof doctor doctora lehrer lehrerin el la le en na al dem der die das the".split()
+    "sr sra srta dr dra mr mrs ms miss mx herr herrn frau fraulein docteur doktor professorin senorita senyoreta maitre maestro maestra mestre mestra m mme mlle me don dona dna d professor professora profesor profesora senyor senyora senor senora professeur professeure monsieur madame mademoiselle prof doctor doctora lehrer lehrerin el la le en na al dem der die das the".split()
 )
 STOPS = frozenset("i y e and et und a al an am at per por para pour fur de until fins hasta avant bis dues dos two deux zwei persones personas others autres personnes weitere".split())
 PARTICLES = frozenset("de del dels d da do dos das di du des von van der den zu vom zum la le i y".split())
@@ -204,8 +204,8 @@ def _slot_after(text: str, at: int, cased: bool) -> list[str]:
             continue
         if w[0].isalpha():
             low = fold(w)
-            if low in TITLES and not out:
-                continue
+            if (low in TITLES or len(w) == 1) and not out:
+                continue  # a form of address or an initial
             if low in PARTICLES and out and (not cased or w.islower()):
                 if low in STOPS and low not in _LEADING:
                     break
@@ -323,7 +323,7 @@ def term_statistics(docs: DataFrame, column: str, people: DataFrame | None = Non
                 if cased:
                     for m in _CAPITALS.finditer(text):
                         run_ = _TOKEN.findall(m.group())
-                        run_ = [w for w in run_ if w[0].isupper()]
+                        run_ = [w for w in run_ if w[0].isupper() and fold(w) not in TITLES]
                         if run_ and fold(run_[0]) in FUNCTION:
                             run_ = run_[1:]
                         if len(run_) > 1:
@@ -442,7 +442,7 @@ class Names:
             start, end = tokens[i][0], tokens[j][1]
             # an initial and a particle before a lone surname
             before = re.search(r"(?<![\w.])(?:[^\W\d_]\. ?-?)+$", text[max(0, start - 8) : start])
-            if before and roles[i] < 0 and before.group()[0].isupper():
+            if before and roles[i] < 0 and (before.group()[0].isupper() or tokens[i][2].islower()):
                 start -= len(before.group())
             out.append((start, end))
             i = j + 1
