@@ -6,7 +6,7 @@ of a document decides. Ties are settled by the log's own order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textrill.errors import UnknownDocument
@@ -96,18 +96,22 @@ def causes(docs: DataFrame) -> DataFrame:
     return docs.filter("extraction_cause IS NOT NULL").groupBy("extraction_cause").agg(F.count("*").alias("n"))
 
 
-def engine_ceiling(content: Column, most_bytes: int, halvings: int = 4) -> tuple[Column, Column]:
-    """(text, cut): halves the text, at a character, until its distinct words' bytes fit, four times at most."""
+def engine_ceiling(docs: DataFrame, column: str, most_bytes: int, halvings: int = 4) -> DataFrame:
+    """``docs`` with the text halved, at a character, until the bytes of its distinct words fit, four times at most.
+
+    Adds ``ceiling``: whether the text was cut. Null stays null. One step is one column, so
+    the text is not cut again for every reference to it.
+    """
     from textrill.functions.text import tokens
 
-    size = lambda c: F.aggregate(F.array_distinct(tokens(c)), F.lit(0), lambda a, x: a + F.octet_length(x) + 8)
-    out = content
+    out = docs.withColumn("_full", F.octet_length(column))
     for _ in range(halvings):
-        raw = F.encode(out, "UTF-8")
-        half = F.floor(F.octet_length(out) / 2).cast("int")
-        cut = F.coalesce(*[F.try_validate_utf8(F.substring(raw, F.lit(1), half - k).cast("string")) for k in range(4)])
-        out = F.when(size(out) > most_bytes, cut).otherwise(out)
-    return out, F.octet_length(out) < F.octet_length(content)
+        size = F.aggregate(F.array_distinct(tokens(column)), F.lit(0), lambda a, x: a + F.octet_length(x) + 8)
+        out = out.withColumn("_size", size).withColumn("_half", F.floor(F.octet_length(column) / 2).cast("int"))
+        raw = F.encode(column, "UTF-8")
+        cut = F.coalesce(*[F.try_validate_utf8(F.substring(raw, F.lit(1), F.col("_half") - k).cast("string")) for k in range(4)])
+        out = out.withColumn(column, F.when(F.col("_size") > most_bytes, cut).otherwise(F.col(column)))
+    return out.withColumn("ceiling", F.coalesce(F.octet_length(column) < F.col("_full"), F.lit(False))).drop("_size", "_half", "_full")
 
 
 def health(docs: DataFrame, index_ready: bool, profile_known: bool = True, usable: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ read more than once go to the folder the cluster names in
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -35,7 +36,7 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, str(path.relative_to(root.parent)))
     context.addPyFile(target)
-    os.unlink(target) if not context.master.startswith(("local", "spark", "yarn", "k8s")) else None
+    atexit.register(lambda: Path(target).unlink(missing_ok=True))  # the driver serves it until it ends
     _shipped.add(context.applicationId)
 
 

@@ -27,10 +27,10 @@ class Store:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def _pointer(self) -> str | None:
-        fs, path = self._fs(f"{self.folder}/_current")
+        fs, path = self._fs(f"{self.folder}/current.txt")
         if not fs.exists(path):
             return None
-        return self.spark.read.text(f"{self.folder}/_current").first()[0]
+        return self.spark.read.text(f"{self.folder}/current.txt").first()[0]
 
     def exists(self) -> bool:
         return self._pointer() is not None
@@ -57,11 +57,11 @@ class Store:
         written = self.spark.read.schema(schemas.DOCUMENTS).parquet(f"{base}/documents")
         index.write(written, base)
         old = self._pointer()
-        fs, path = self._fs(f"{self.folder}/_next-{version}")
+        fs, path = self._fs(f"{self.folder}/next-{version}.txt")
         out = fs.create(path, True)
         out.write(bytearray(version.encode()))
         out.close()
-        _, current = self._fs(f"{self.folder}/_current")
+        _, current = self._fs(f"{self.folder}/current.txt")
         fs.delete(current, False)
         fs.rename(path, current)
         if old:
