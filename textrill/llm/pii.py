@@ -239,6 +239,8 @@ def _slot_before(text: str, start: int, cased: bool) -> list[str]:
         low = fold(w)
         if w == ",":
             words.append(w)
+        elif not cased and (low in STOPS or low in ("en", "in", "cas")) and low not in PARTICLES:
+            return []  # an adverbial before a number, not a name
         elif low in PARTICLES and w.islower():
             continue
         elif cased and not w[0].isupper():
