@@ -132,7 +132,8 @@ def _segment(text: str, found: set[str]) -> str:
         fixed = k["word"].sub(_fix_word, text)
         if fixed != text or any(k["latin"].search(w) for w in k["word"].findall(text)):
             found.add("foreign_letter")
-        text = fixed
+        # an accent may compose with the letter it now stands on
+        text = unicodedata.normalize("NFC", fixed)
     return text
 
 
