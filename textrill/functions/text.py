@@ -107,6 +107,11 @@ def path_extension(title: Column) -> Column:
     return F.lower(F.regexp_extract(F.element_at(F.split(F.coalesce(title, F.lit("")), "/"), -1), r"\.([^.]*)$", 1))
 
 
+def scrub(c: Column) -> Column:
+    """Valid UTF-8: each invalid sequence becomes a replacement character."""
+    return F.make_valid_utf8(c)
+
+
 def null_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

@@ -255,6 +255,21 @@ def match_from_postings(spark, d):
     return match.index_hits(post, index.doc_stats(docs, TITLE, CONTENT), compile_query(COMBINED)).select("id", F.round("score", 6).alias("score"))
 
 
+@query()
+def rank_cover_density(spark, d):
+    """The combined search under tsquery, ranked by cover density."""
+    from textrill.operators.cover import cover_hits
+
+    return cover_hits(_docs(spark, d), compile_query(COMBINED, "tsquery"), TITLE, CONTENT).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT id, content_norm AS scrubbed, content_norm IS NOT NULL AS valid FROM index_documents WHERE content_norm IS NOT NULL")
+def utf8_repair(spark, d):
+    """Texts made valid UTF-8, as they all are here."""
+    rows = _docs(spark, d).filter(F.col(CONTENT).isNotNull())
+    return rows.select("id", X.scrub(F.col(CONTENT)).alias("scrubbed"), F.is_valid_utf8(CONTENT).alias("valid"))
+
+
 # filters, joins, paging
 
 
