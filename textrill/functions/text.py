@@ -75,6 +75,13 @@ def padded(c: Column | str) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(fold(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))), SEPARATOR, "  "), F.lit(" "))
 
 
+def padded_words(p: Column) -> Column:
+    """How many words a padded text has: two blanks each, and two more at an end that began or ended with a separator."""
+    blanks = F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
+    edges = F.when(F.startswith(p, F.lit("   ")), 2).otherwise(0) + F.when(F.endswith(p, F.lit("   ")), 2).otherwise(0)
+    return F.when(F.trim(p) == "", 0).otherwise(((blanks - edges) / 2).cast("int"))
+
+
 def word_count(c: Column | str) -> Column:
     return F.regexp_count(F.lower(fold(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrill.functions.text import tokens, word_count
+from textrill.runtime import spread
 
 TITLE, CONTENT = 0, 1
 
@@ -23,7 +24,7 @@ def postings(docs: DataFrame, title: str = "title", content: str = "content", id
         F.struct(F.lit(TITLE).alias("field"), tokens(title).alias("words")),
         F.struct(F.lit(CONTENT).alias("field"), tokens(content).alias("words")),
     )
-    cut = docs.select(F.col(id).alias("doc_id"), F.explode(fields).alias("f")).select("doc_id", F.col("f.field").alias("field"), F.posexplode("f.words").alias("pos", "term"))
+    cut = spread(docs.select(id, title, content)).select(F.col(id).alias("doc_id"), F.explode(fields).alias("f")).select("doc_id", F.col("f.field").alias("field"), F.posexplode("f.words").alias("pos", "term"))
     return cut.groupBy("term", "doc_id", "field").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

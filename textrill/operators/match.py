@@ -21,9 +21,10 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textrill.functions.text import occurrences, padded, tokens, word_count
+from textrill.functions.text import occurrences, padded, padded_words, tokens
 from textrill.operators.index import TITLE
 from textrill.plans.query import MUST, MUST_NOT, SHOULD, Compiled, Unit
+from textrill.runtime import spread
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 # The default stop words of the boolean profile's engine.
@@ -99,17 +100,17 @@ def _unit_filter(query: Compiled) -> Compiled:
 
 def counted(docs: DataFrame, query: Compiled, title: str, content: str, id: str = "id") -> DataFrame:
     """(id, len, tf_0, tf_1, ...): one row a document, no shuffle."""
-    fields = [padded(title), padded(content)]
-    words = [tokens(title), tokens(content)]
-    if query.profile == "tsquery":  # one vector: a phrase may cross from title to content
-        fields, words = [F.concat(fields[0], fields[1])], [F.concat(*words)]
-    # the padded texts are computed once a row and counted in for every unit
-    base = docs.select(F.col(id).alias("id"), (word_count(title) + word_count(content)).alias("len"), *[f.alias(f"f{i}") for i, f in enumerate(fields)])
     needs_words = any(len(u.words) > 1 and _overlaps(u.words) for u in query.units)
-    if needs_words:
-        base = docs.select(F.col(id).alias("id"), (word_count(title) + word_count(content)).alias("len"), *[f.alias(f"f{i}") for i, f in enumerate(fields)], *[w.alias(f"w{i}") for i, w in enumerate(words)])
-    at = range(len(fields))
-    return base.select("id", "len", *[unit_tf(u, [F.col(f"f{j}") for j in at], [F.col(f"w{j}") for j in at]).alias(f"tf_{i}") for i, u in enumerate(query.units)])
+    # the padded texts are computed once a row; all else is counted in them
+    base = spread(docs.select(F.col(id).alias("id"), F.col(title).alias("_t"), F.col(content).alias("_c"))).select(
+        "id", padded("_t").alias("f0"), padded("_c").alias("f1"), *([tokens("_t").alias("w0"), tokens("_c").alias("w1")] if needs_words else [])
+    )
+    length = (padded_words(F.col("f0")) + padded_words(F.col("f1"))).alias("len")
+    fields, words = [F.col("f0"), F.col("f1")], [F.col("w0"), F.col("w1")]
+    if query.profile == "tsquery":  # one vector: a phrase may cross from title to content
+        base = base.withColumn("f", F.concat("f0", "f1"))
+        fields, words = [F.col("f")], [F.concat(*words)]
+    return base.select("id", length, *[unit_tf(u, fields, words).alias(f"tf_{i}") for i, u in enumerate(query.units)])
 
 
 def score(query: Compiled, n_docs: int, avg_len: float, n: list[int]) -> Column:

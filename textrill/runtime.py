@@ -62,6 +62,18 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, whatever the number of input files.
+
+    Work on texts costs far more a byte than a scan, so a scan with fewer tasks
+    than cores is dealt out anew. Larger inputs have enough tasks of their own
+    and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if tasks >= cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -70,4 +82,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
+    _forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables go when the application ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
