@@ -5,27 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from textrill.runtime import materialize, shared_dir, table  # noqa: F401
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, whatever the number of input files.
-
-    Python work costs far more a byte than a scan, so a scan with fewer tasks
-    than cores is dealt out anew. Larger inputs have enough tasks of their own
-    and are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if tasks >= cores else df.repartition(cores)
-
-
-def salt(column: str, ways: int) -> Column:
-    """A salt in 0..ways-1 that is the same whenever the task is run again."""
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(ways)).cast("int")
+from textrill.runtime import materialize, shared_dir, spread, table  # noqa: F401
 
 
 _FOLD = {ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("ø"): "o", ord("ł"): "l", ord("đ"): "d", ord("ı"): "i"}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrill.llm import canonical, encoding
-from textrill.llm.common import spread
+from textrill.llm.common import spread, table
 
 _repairers: dict[object, encoding.Repairer] = {}
 
@@ -118,29 +118,21 @@ def canonical_text(docs: DataFrame, key: str, columns: list[str], garbled_column
 
 def p3_found(spark, sf_dir):
     """(id) of rows of index_documents with wrongly decoded text."""
-    from textrill.llm.common import table
-
     return garbled(table(spark, sf_dir, "index_documents"), "id", "content_norm")
 
 
 def p3_repaired(spark, sf_dir):
     """Every garbled row with the layers undone and its text given back as far as it still can be."""
-    from textrill.llm.common import table
-
     return repaired(table(spark, sf_dir, "index_documents"), "id", "content_norm").filter("garbled_tokens > 0")
 
 
 def p4_found(spark, sf_dir):
     """(id, field) of the texts that look ordinary but hold other characters."""
-    from textrill.llm.common import table
-
     rows = canonical_text(table(spark, sf_dir, "index_documents"), "id", ["title_norm", "content_norm"], "content_norm")
     return rows.filter("size(kinds) > 0 AND NOT garbled").select("id", F.regexp_replace("field", "_norm$", "").alias("field"))
 
 
 def p4_canonical(spark, sf_dir):
     """Both fields of every row in the one form."""
-    from textrill.llm.common import table
-
     rows = canonical_text(table(spark, sf_dir, "index_documents"), "id", ["title_norm", "content_norm"])
     return rows.select("id", "field", "canonical", "kinds")
