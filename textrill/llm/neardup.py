@@ -27,6 +27,7 @@ of bounded memory, over their whole length.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrill.llm.common import fold, materialize, spread, table
+from textrill.llm.common import materialize, spread, table
 
 WIDTH = 3
 THRESHOLD = 0.6
@@ -48,11 +49,14 @@ BLOCK = 512
 BROADCAST_ROWS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
 _U = np.uint64
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(fold(text))
+    """Lower case, accents removed, cut into runs of letters and digits; letters without an accent stay, ß among them."""
+    text = text.lower()
+    return _WORD.findall(text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text)))
 
 
 def shingles(words: list[str], width: int, seen: dict[str, int]) -> np.ndarray:
