@@ -19,6 +19,7 @@ from textrill.operators.search import DIGITS
 from textrill.plans.query import MUST, MUST_NOT, SHOULD, Request, compile_query, numeric_option
 from textrill.runtime import materialize
 
+SALTS = 16
 UNITS = "request_id long, unit int, words array<string>, prefix boolean, occur string, browse boolean, `limit` long, `offset` long, beyond boolean, refused boolean, since_n long, until_n long"
 
 
@@ -123,10 +124,17 @@ def search(requests: DataFrame, docs: DataFrame, access: DataFrame, tags: DataFr
 
 
 def pages(found: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, rank, id, score): each request's page. Ranks stop at the page's end, so a hot request is cut early."""
+    """(request_id, rank, id, score): each request's page.
+
+    A request may find most of all documents, so its best rows are first picked within
+    ``SALTS`` parts, and only what can be on the page or before it is ordered together.
+    """
     limits = requests.select("request_id", F.greatest(F.lit(1), F.coalesce("size", F.lit(0))).alias("l"), F.coalesce("page", F.lit(1)).alias("p")).withColumn("o", F.greatest(F.lit(0), (F.col("p") - 1) * F.col("l")))
-    rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc("id")))
-    return found.join(limits, "request_id").withColumn("rank", rank).filter("rank > o AND rank <= o + l").select("request_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    best = [F.desc("score"), F.asc("id")]
+    rows = found.join(limits, "request_id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id", "part").orderBy(*best))).filter("rank <= o + l")
+    rank = F.row_number().over(Window.partitionBy("request_id").orderBy(*best))
+    return rows.withColumn("rank", rank).filter("rank > o AND rank <= o + l").select("request_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
 def totals(found: DataFrame, requests: DataFrame) -> DataFrame:
