@@ -92,11 +92,6 @@ def _classes() -> dict[str, object]:
     }
 
 
-def unstable_pattern() -> str:
-    """A Java and Python character class matching every character that can start a change."""
-    return _classes()["any"].pattern
-
-
 _LOOK = str.maketrans(LOOKALIKES)
 
 

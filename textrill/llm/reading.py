@@ -50,10 +50,6 @@ _NOISE = re.compile(r"\S*[\d/_@\\]\S*")
 _ENDS = re.compile(r"(?<=[.!?…])[\"”»)]?\s+|\n+")
 
 
-def item_buckets(words: list[str]) -> list[int]:
-    return [zlib.crc32(w.encode("utf-8", "surrogatepass")) & (ITEMS - 1) for w in words]
-
-
 def items_of(text: str, seen: dict[str, int]) -> list[int]:
     """The items of a text: its words, and one length class for each sentence of three words or more."""
     out: list[int] = []
