@@ -31,7 +31,7 @@ def test_water_filling_is_feasible_and_fair(cases, total):
 
 def test_over_a_table(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 5}", 10 + i % 7) for i in range(3000)] + [(9000, None, 50), (9001, "hot", 0), (9002, "other", 10)]
-    counts = spark.createDataFrame(rows, "doc_id long, source string, tokens int")
+    counts = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, source string, tokens int, part int, slice string")
     targets = spark.createDataFrame([("hot", 0.3, 2), ("s0", 0.3, 2), ("s1", 0.2, 4), ("s2", 0.1, 1), ("none", 0.1, 1), (None, 0.0, 1)], "source string, target_share double, max_repeats int")
     planned = M.plan(counts, targets, 20_000)
     got = M.mix(counts, "doc_id", planned).collect()

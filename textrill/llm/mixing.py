@@ -77,6 +77,7 @@ def plan(counts: DataFrame, targets: DataFrame, total: float | None = None) -> l
 def mix(counts: DataFrame, key: str, planned: list[dict], seed: int = SEED) -> DataFrame:
     """(key, source, tokens, repeats) for every row of ``counts`` (key, source, tokens), a materialized table."""
     spark = counts.sparkSession
+    counts = counts.select(key, "source", "tokens")  # other columns, whatever their names, play no part
     entries = [(p["source"], p["whole"], p["part"]) for p in planned]
     per = F.broadcast(spark.createDataFrame(entries, "source string, whole int, part long"))  # a row a target
     placed = counts.join(per, "source", "left").withColumn("h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("slice", F.pmod(F.shiftrightunsigned("h", 40), F.lit(SLICES)).cast("int"))
