@@ -99,8 +99,9 @@ class SearchEngine:
         for name in request.widening:
             log.debug("search option not offered, skipped: %s", name)
         query = compile_query(request.search, self.config.profile)
-        stats = self.store.read("doc_stats")
-        hits = None if query.browse else match.index_hits(self.store.read("postings"), stats, query)
+        # under tsquery a phrase may run from title into content, which only the texts tell
+        from_texts = query.browse or (query.profile == "tsquery" and any(len(u.words) > 1 for u in query.units))
+        hits = None if from_texts else match.index_hits(self.store.read("postings"), self.store.read("doc_stats"), query)
         return search.base(self.store.read("documents"), self.store.read("access"), self.store.read("tags"), request, tokens, query, hits)
 
     def search(self, request: Request, viewer: str = "", groups=(), circles=()) -> tuple[DataFrame, DataFrame]:
