@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,7 @@ SCALE = 40.0
 MAX_TRAIN = 5_000
 MIN_WORDS = 5
 SURE = 0.9
+MEMORY = 300_000
 
 # Names and codes of the languages in use.
 NAMES = {
@@ -91,15 +91,18 @@ def document_frequency(docs: DataFrame, column: str) -> tuple[np.ndarray, int]:
                 if not words:
                     continue
                 n += 1
+                mine = []
                 for w in words:
                     g = seen.get(w)
                     if g is None:
                         g = grams(w)
                         if len(seen) < 300_000:
                             seen[w] = g
-                    flags[g] = True
-                df += flags
-                flags[:] = False
+                    mine.append(g)
+                flags[np.concatenate(mine)] = True
+                once = np.flatnonzero(flags)
+                df[once] += 1
+                flags[once] = False
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"at": pa.array([*at, -1], pa.int32()), "n": pa.array([*df[at], n], pa.int64())})
 
@@ -116,7 +119,8 @@ class Model:
     def __init__(self, langs: list[str], weights: np.ndarray, idf: np.ndarray, temperature: float = 1.0):
         self.langs, self.weights, self.idf, self.temperature = langs, weights, idf, temperature
         self.table = (weights * idf[:, None]).astype(np.float64)
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: dict[str, int] = {}
+        self.shares = np.zeros((1024, len(langs) + 1))
 
     def __getstate__(self):
         return {"langs": self.langs, "weights": self.weights, "idf": self.idf, "temperature": self.temperature}
@@ -124,18 +128,22 @@ class Model:
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def word(self, w: str) -> np.ndarray:
-        """A word's share of the logits, and in the last place of the sum they are scaled by."""
-        v = self.seen.get(w)
-        if v is None:
+    def row(self, w: str) -> int:
+        """Where ``shares`` holds a word's share of the logits, and last its part of the sum they are scaled by."""
+        k = self.seen.get(w)
+        if k is None:
+            k = self.seen[w] = len(self.seen)
+            if k == len(self.shares):
+                self.shares = np.concatenate([self.shares, np.zeros_like(self.shares)])
             g = grams(w)
-            v = np.append(self.table[g].sum(0), self.idf[g].sum())
-            if len(self.seen) < 300_000:
-                self.seen[w] = v
-        return v
+            self.shares[k, :-1], self.shares[k, -1] = self.table[g].sum(0), self.idf[g].sum()
+        return k
 
     def logits(self, words: list[str]) -> np.ndarray:
-        total = reduce(np.add, map(self.word, words))
+        if len(self.seen) + len(words) > MEMORY:
+            self.seen.clear()  # before, not while the rows of one sentence are gathered
+        rows = [self.row(w) for w in words]
+        total = self.shares[rows].sum(0)
         return SCALE * total[:-1] / max(total[-1], 1e-9)
 
     def probabilities(self, words: list[str]) -> np.ndarray:
