@@ -101,10 +101,11 @@ def _unit_filter(query: Compiled) -> Compiled:
 def counted(docs: DataFrame, query: Compiled, title: str, content: str, id: str = "id") -> DataFrame:
     """(id, len, tf_0, tf_1, ...): one row a document, no shuffle."""
     needs_words = any(len(u.words) > 1 and _overlaps(u.words) for u in query.units)
-    # the padded texts are computed once a row; all else is counted in them
-    base = spread(docs.select(F.col(id).alias("id"), F.col(title).alias("_t"), F.col(content).alias("_c"))).select(
-        "id", padded("_t").alias("f0"), padded("_c").alias("f1"), *([tokens("_t").alias("w0"), tokens("_c").alias("w1")] if needs_words else [])
-    )
+    # The padded texts are computed once a row; all else is counted in them. As the output of a
+    # generator they stay so: a filter on counts is not pushed below it, where it would fold the
+    # text again for every count.
+    made = [padded("_t").alias("f0"), padded("_c").alias("f1"), *([tokens("_t").alias("w0"), tokens("_c").alias("w1")] if needs_words else [])]
+    base = spread(docs.select(F.col(id).alias("id"), F.col(title).alias("_t"), F.col(content).alias("_c"))).select("id", F.inline(F.array(F.struct(*made))))
     length = (padded_words(F.col("f0")) + padded_words(F.col("f1"))).alias("len")
     fields, words = [F.col("f0"), F.col("f1")], [F.col("w0"), F.col("w1")]
     if query.profile == "tsquery":  # one vector: a phrase may cross from title to content
