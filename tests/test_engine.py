@@ -85,7 +85,7 @@ def test_health_of_nothing(spark, tmp_path):
 def test_stream_reads_its_writes(spark, tmp_path, engine):
     feed = f"{tmp_path}/feed"
     live = set()
-    for n in range(6):  # rounds: write one, replace the oldest every third, delete the oldest every fifth
+    for n in range(5):  # rounds: write one, replace the oldest every third, delete the oldest every fifth
         rows = [doc(f"d{n}", f"torn comu{n} paraula")]
         live.add(f"d{n}")
         if n % 3 == 2:
