@@ -62,3 +62,47 @@ def test_over_a_table(spark):
     assert (got[101]["repaired"], got[102]["repaired"]) == (None, "")
     assert sorted(r["id"] for r in repair.garbled(df, "id", "t").collect()) == [100, 103, 104]
     assert repair.repaired(df.limit(0), "id", "t").count() == 0
+
+
+def decoded(text, right, wrong):
+    table = E._table(wrong)
+    return "".join(chr(b) if b < 128 else table[b] for b in text.encode(right))
+
+
+def test_a_hot_group_of_garbled_copies_and_quotes_only(spark):
+    said = ["früh", "heute", "morgen", "gern", "allein", "zuletzt", "bald", "wieder"]
+    clean = [f"{a} wird für die {b} geöffnet und {a} für alle {c}" for i, a in enumerate(said) for b in said for c in said[i:]]
+    hot = decoded("Wir müssen für die Tür früh geöffnet lassen", "cp1252", "cp850")
+    mac = decoded("Wir sind für alle da und haben für die Tür geöffnet", "mac_roman", "cp1252")
+    quotes = decoded("the teacher said “open the garden” and left", "mac_roman", "cp1252")
+    apostrophe = decoded("they don’t open it", "cp1252", "cp850")
+    plain = ["we open the garden, they don't", "the garden is open and they don't mind"] * 40
+    rows = [*clean, *plain, *[hot] * 200, *[mac + f" {w}" for w in said * 25], quotes, apostrophe]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, t string")
+    got = {r["id"]: r["repaired"] for r in repair.repaired(df, "id", "t").filter("garbled_tokens > 0").collect()}
+    first = len(clean) + len(plain)
+    assert set(got) == set(range(first, len(rows)))
+    assert "für" in got[first] and "für" in got[first + 200]
+    assert got[len(rows) - 2] == "the teacher said “open the garden” and left"
+    assert got[len(rows) - 1] == "they don’t open it"
+
+
+def test_contexts_are_exact_up_to_their_limit(spark):
+    df = spark.createDataFrame([(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} über b",) for i in range(1000)] + [("x für y",)] * 500 + [(None,), ("",)], "t string")
+    got = {r["word"]: (r["n"], r["contexts"]) for r in repair.word_counts(df.repartition(5), "t").filter("NOT plain").collect()}
+    assert got == {"über": (1000, E.CONTEXTS), "für": (500, 1)}
+
+
+@pytest.mark.parametrize("text", ["Òpera i camí", "BAILÓ el día", "ôter la pièce", "le bail", "CAMIÓ"])
+def test_words_that_only_look_like_typography_are_kept(text):
+    counts, plain = {}, {}
+    for t in ["día camí pièce", "pera bail ter cami d'a"]:
+        for w in t.split():
+            (counts if not w.isascii() else plain)[w] = 500
+    tables = []
+    for c in (counts, plain):
+        table = np.zeros(E.ROWS * E.BUCKETS, np.int32)
+        for w, n in c.items():
+            table[E.buckets(w)] += n
+        tables.append(table)
+    assert E.Repairer(E.WordCounts(tables[0], None, tables[1])).repair(text) == (text, [], 0)

@@ -10,12 +10,18 @@ only when a garbling cost drops.
   for nested layers. Well-formedness is what makes the cost drop here: several
   rare characters become one common letter.
 * Intended single-byte encodings: every byte decodes, so the cost is corpus
-  evidence: minus the logarithm of a word's count over *all* rows. A token is
-  repaired when the restored word is at least ``RATIO`` times as frequent as the
-  stored one.
-
-Word counts are kept in a count-min sketch of ``ROWS`` x ``BUCKETS`` counters,
-whatever the size of the corpus, so the broadcast has a proven bound (16 MB).
+  evidence: minus the logarithm of a word's count over *all* rows, and of its
+  distinct contexts (the words beside it, up to ``CONTEXTS``), which copies
+  cannot raise. A token is repaired when one of the two costs drops by
+  log ``RATIO``; where no token of a text alone does, the drops of its distinct
+  tokens under one cause are added up.
+* Letters that were apostrophes or closing quotes are judged by the word they
+  stand in or at, ASCII words included. A lone dash or opening quote is no
+  evidence of its own; it follows the cause found for the text.
+
+Counts are kept in count-min sketches of ``ROWS`` x ``BUCKETS`` counters, one for
+non-ASCII words and one for ASCII ones and those with an apostrophe, whatever
+the size of the corpus, so a worker's tables have a proven bound (48 MB).
 
 Null and empty texts are returned unchanged with no layers. Characters lost for
 good (U+FFFD) mark the row as garbled; the mark stays where the corpus holds no
@@ -38,6 +44,7 @@ ROWS = 4
 RATIO = 12.0
 SEQUENCE = 4.0
 LEAST = 4
+CONTEXTS = 256
 MAX_LAYERS = 4
 LEGACY = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859_15", "cp1254", "cp1257", "koi8_r", "cp866")
 # (decoded as, should have been)
@@ -105,6 +112,11 @@ def _pair_tables() -> list[tuple[str, str, dict[int, str]]]:
     return out
 
 
+@lru_cache(None)
+def _moves() -> dict[str, dict[int, str]]:
+    return {f"{wrong}>{right}": moves for wrong, right, moves in _pair_tables()}
+
+
 _WORD = re.compile(r"[^\W\d_]+(?:['’·][^\W\d_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
@@ -117,22 +129,76 @@ def buckets(word: str) -> list[int]:
 
 
 class WordCounts:
-    """Counters of the corpus's words with non-ASCII letters."""
+    """Counters of the corpus's words with non-ASCII letters, of their contexts, and both for plain words."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
+    def __init__(self, table: np.ndarray, contexts: np.ndarray | None = None, plain: np.ndarray | None = None, plain_contexts: np.ndarray | None = None):
+        self.table, self.contexts, self.plain, self.plain_contexts = table, contexts, plain, plain_contexts
 
     def of(self, word: str) -> int:
-        t = self.table
-        return int(min(t[b] for b in buckets(word.lower())))
+        return self._least(self.table, word)
+
+    def contexts_of(self, word: str) -> int:
+        return self.of(word) if self.contexts is None else min(self._least(self.contexts, word), CONTEXTS)
+
+    def plain_of(self, word: str) -> int:
+        return 0 if self.plain is None else self._least(self.plain, word)
+
+    def plain_contexts_of(self, word: str) -> int:
+        return self.plain_of(word) if self.plain_contexts is None else min(self._least(self.plain_contexts, word), CONTEXTS)
 
-    def cost(self, text: str) -> float:
+    @staticmethod
+    def _least(table: np.ndarray, word: str) -> int:
+        return int(min(table[b] for b in buckets(word.lower())))
+
+    def drop(self, before: str, after: str) -> float:
+        """How far the garbling cost drops, by rows or by contexts, whichever tells more."""
+        return max(self.cost(before, of) - self.cost(after, of) for of in (self.of, self.contexts_of))
+
+    def typography(self, before: str, after: str) -> tuple[float, bool]:
+        """(drop, evidence) where letters of ``before`` were typography; 0 where a mark stands in no place of its own.
+
+        Opening quotes and dashes are no evidence, as a word may well begin with such a letter.
+        """
+        best, evidence = 0.0, False
+        for i, (b, c) in enumerate(zip(before, after)):
+            if not b.isalpha() or c.isalpha():
+                continue
+            left, right = after[i - 1 : i] if i else "", after[i + 1 : i + 2]
+            if c in "’”»":
+                inside = c == "’" and left.isalpha() and right.isalpha()
+                if not (inside or (left and not left.isspace() and not right.isalpha())):
+                    return 0.0, False
+                sure = inside or (c == "”" and left.isalpha() and (b.islower() or left.islower()))
+            elif c in "‘“«":
+                if left.isalpha() or not right.isalnum():
+                    return 0.0, False
+                sure = False
+            elif c in "–—…" and not (left.isalpha() and right.isalpha()):
+                sure = False
+            else:
+                return 0.0, False
+            old = next((m.group() for m in _LETTERS.finditer(before) if m.start() <= i < m.end()), "")
+            new = next((m.group() for m in _WORD.finditer(after) if m.start() - 1 <= i <= m.end()), "").lower().replace("’", "'")
+            if len(new) < 3:
+                continue
+            plain = new.isascii() or "'" in new
+            if (self.plain_of(new) if plain else self.of(new)) < LEAST:
+                return 0.0, False
+            capitals = 2.0 if old[1:] not in (old[1:].lower(), old[1:].upper()) else 0.0
+            pairs = ((self.of, self.plain_of if plain else self.of), (self.contexts_of, self.plain_contexts_of if plain else self.contexts_of))
+            best = max(best, *(math.log(now(new) + 0.5) - math.log(was(old) + 0.5) + capitals for was, now in pairs))
+            evidence = evidence or sure
+        if any(self.of(w) < LEAST for w in _LETTERS.findall(after) if not w.isascii()):
+            return 0.0, False
+        return best, evidence
+
+    def cost(self, text: str, of=None) -> float:
         """Garbling cost of a token: minus log counts of its non-ASCII words, plus a charge for misplaced characters."""
-        total = 0.0
+        total, of = 0.0, of or self.of
         for w in _LETTERS.findall(text):
             if w.isascii():
                 continue
-            total -= math.log(self.of(w) + 0.5)
+            total -= math.log(of(w) + 0.5)
             inner = w[1:]
             if inner != inner.lower() and inner != inner.upper():
                 total += 2.0  # capitals inside a word
@@ -159,13 +225,41 @@ def count_words(text: str | None, into: dict[str, int]) -> None:
                 into[w] = into.get(w, 0) + 1
 
 
+def count_contexts(text: str | None, into: dict[tuple[bool, str], list]) -> int:
+    """Add the words of a text to a map of (plain, word) to [count, hashes of contexts]; returns how many contexts came.
+
+    Plain words are ASCII ones and those with an apostrophe. Of each word the
+    ``CONTEXTS`` smallest hashes are enough to tell their number up to that.
+    """
+    words = _WORD.findall(text.lower().replace("’", "'")) if text else ()
+    came = 0
+    for i, w in enumerate(words):
+        context = xxhash.xxh3_64_intdigest(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode("utf-8", "surrogatepass")) >> 1
+        keys = [(True, w)] if w.isascii() or "'" in w else []
+        if not w.isascii():
+            keys += [(False, x) for x in _LETTERS.findall(w) if not x.isascii()]
+        for key in keys:
+            entry = into.get(key)
+            if entry is None:
+                entry = into[key] = [0, set(), 1 << 63]
+            entry[0] += 1
+            if context < entry[2] and context not in entry[1]:
+                entry[1].add(context)
+                came += 1
+                if len(entry[1]) >= 2 * CONTEXTS:
+                    least = sorted(entry[1])[:CONTEXTS]
+                    came -= len(entry[1]) - CONTEXTS
+                    entry[1], entry[2] = set(least), least[-1]
+    return came
+
+
 class Repairer:
     """Repairs texts; decisions about tokens are remembered, up to ``memory`` distinct ones."""
 
     def __init__(self, counts: WordCounts, memory: int = 200_000):
         self.counts = counts
         self.memory = memory
-        self.seen: dict[str, tuple[str, str] | None] = {}
+        self.seen: dict[str, tuple[tuple[str, str] | None, dict[str, tuple[float, bool]]]] = {}
 
     def _nested(self, token: str) -> tuple[str, str] | None:
         """Layers of UTF-8 read as a legacy encoding undone, if the garbling cost drops."""
@@ -184,25 +278,30 @@ class Repairer:
             return text, "+".join(layers)
         return None
 
-    def _token(self, token: str) -> tuple[str, str] | None:
-        """The repaired token and how, or None where it is kept."""
-        if (found := self._nested(token)) or "\ufffd" in token:
-            return found
+    def _pairs(self, token: str) -> dict[str, tuple[float, bool]]:
+        """By cause, how far the cost of the token drops if that is undone, and whether the corpus has its words."""
         plain = canonical.plain_marks(token)
-        before = self.counts.cost(plain)
-        best = None
+        out = {}
         for wrong, right, moves in _pair_tables():
             new = plain.translate(moves)
-            if new == plain or any("\x80" <= c <= "\x9f" for c in new) or not self.counts.all_known(new):
+            if new == plain or any("\x80" <= c <= "\x9f" for c in new):
                 continue
             if any(ord(c) in moves and c.isalpha() and not moves[ord(c)].isalpha() for c in plain):
-                continue
-            after = self.counts.cost(new)
-            if after < before - math.log(RATIO) and (best is None or after < best[0]):
-                best = (after, token.translate(moves), f"{wrong}>{right}")
-        return (best[1], best[2]) if best else None
+                drop, known = self.counts.typography(plain, new)
+                out[f"{wrong}>{right}"] = (drop if drop > 0 else min(0.0, self.counts.drop(plain, new)), known)
+            else:
+                out[f"{wrong}>{right}"] = (self.counts.drop(plain, new), self.counts.all_known(new))
+        return out
 
-    def token(self, token: str) -> tuple[str, str] | None:
+    def _token(self, token: str) -> tuple[tuple[str, str] | None, dict[str, tuple[float, bool]]]:
+        """The repaired token and how, or None where it is kept; and the evidence by cause."""
+        if (found := self._nested(token)) or "\ufffd" in token:
+            return found, {}
+        pairs = self._pairs(token)
+        best = max(((drop, cause) for cause, (drop, known) in pairs.items() if known and drop > math.log(RATIO)), key=lambda x: x[0], default=None)
+        return (token.translate(_moves()[best[1]]), best[1]) if best else None, pairs
+
+    def evidence(self, token: str) -> tuple[tuple[str, str] | None, dict[str, tuple[float, bool]]]:
         if token in self.seen:
             return self.seen[token]
         out = self._token(token)
@@ -210,6 +309,22 @@ class Repairer:
             self.seen[token] = out
         return out
 
+    def token(self, token: str) -> tuple[str, str] | None:
+        return self.evidence(token)[0]
+
+    def _together(self, tokens: set[str]) -> str | None:
+        """The cause under which the distinct tokens of a text together drop enough; tokens that rise speak against it."""
+        every = [self.evidence(t)[1] for t in tokens]
+        if not any(known and drop > 0 for pairs in every for drop, known in pairs.values()):
+            return None
+        total: dict[str, float] = {}
+        for pairs in every:
+            for cause, (drop, known) in pairs.items():
+                if known or drop < 0:
+                    total[cause] = total.get(cause, 0.0) + drop
+        best = max(sorted(total), key=total.get)
+        return best if total[best] > math.log(RATIO) else None
+
     def repair(self, text: str | None) -> tuple[str | None, list[str], int]:
         """The repaired text, the layers undone, and how many tokens were garbled (lost characters included)."""
         if not text or text.isascii():
@@ -220,19 +335,22 @@ class Repairer:
             if fixed:
                 how[fixed[1]] = how.get(fixed[1], 0) + 1
         lost = sum("\ufffd" in t for _, _, t, fixed in spans if not fixed)
-        if not how:
-            return text, [], lost
         # a passage decoded wrongly has one cause: it also explains tokens without evidence of their own
-        cause = max(sorted(how), key=how.get)
-        moves = next((m for w, r, m in _pair_tables() if f"{w}>{r}" == cause), None)
-        out, at = [], 0
+        cause = max(sorted(how), key=how.get) if how else self._together({t for _, _, t, _ in spans})
+        if cause is None:
+            return text, [], lost
+        moves = _moves().get(cause)
+        out, at, more = [], 0, 0
         for start, end, token, fixed in spans:
             if fixed is None and moves is not None:
                 new = token.translate(moves)
-                if new != token and all(_expected(c) or c.isascii() for c in new) and self.counts.cost(new) < self.counts.cost(token):
+                if new != token and all(_expected(c) or c.isascii() for c in new) and (self.evidence(token)[1].get(cause, (0.0, False))[0] > 0 or self.counts.cost(new) < self.counts.cost(token)):
                     fixed = (new, cause)
+                    more += 1
             if fixed:
                 out += [text[at:start], fixed[0]]
                 at = end
         out.append(text[at:])
-        return "".join(out), sorted(how), sum(how.values()) + lost
+        if not how and not more:
+            return text, [], lost
+        return "".join(out), sorted(how) or [cause], (sum(how.values()) or more) + lost

@@ -15,54 +15,77 @@ _repairers: dict[object, encoding.Repairer] = {}
 
 
 def word_counts(docs: DataFrame, column: str) -> DataFrame:
-    """(word, n): the non-ASCII words of all rows. Counted per task before they are shuffled."""
+    """(plain, word, n, contexts): the words of all rows. Counted per task before they are shuffled.
+
+    ``contexts`` is the number of distinct contexts, exact up to ``CONTEXTS``: a
+    task sends that many of a word at most, so no word is a hot key.
+    """
+    schema = pa.schema([("plain", pa.bool_()), ("word", pa.string()), ("context", pa.int64()), ("n", pa.int64())])
+
+    def rows_of(seen):
+        out = {"plain": [], "word": [], "context": [], "n": []}
+        for (plain, word), (n, contexts, _) in seen.items():
+            # the count goes with one of the contexts
+            for c, m in zip(contexts, (n, *[0] * len(contexts))):
+                out["plain"].append(plain)
+                out["word"].append(word)
+                out["context"].append(c)
+                out["n"].append(m)
+            if len(out["n"]) > 50_000:
+                yield pa.RecordBatch.from_pydict(out, schema)
+                out = {k: [] for k in out}
+        yield pa.RecordBatch.from_pydict(out, schema)
 
     def count(batches):
-        seen: dict[str, int] = {}
+        seen, kept = {}, 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                encoding.count_words(text, seen)
-            if len(seen) > 200_000:
-                yield pa.RecordBatch.from_pydict({"word": list(seen), "n": pa.array(seen.values(), pa.int64())})
-                seen = {}
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+                kept += encoding.count_contexts(text, seen)
+                if kept > 1_000_000:
+                    yield from rows_of(seen)
+                    seen, kept = {}, 0
+        yield from rows_of(seen)
 
-    counted = docs.select(column).filter(F.col(column).rlike(r"[^\x00-\x7F]")).mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+    rows = spread(docs.select(column)).mapInArrow(count, "plain boolean, word string, context long, n long")
+    once = rows.groupBy("plain", "word", "context").agg(F.sum("n").alias("n"))
+    return once.groupBy("plain", "word").agg(F.sum("n").alias("n"), F.least(F.count("*"), F.lit(encoding.CONTEXTS)).alias("contexts"))
 
 
 def sketch(docs: DataFrame, column: str) -> Broadcast:
-    """The count-min sketch of the word counts, broadcast.
+    """The count-min sketches of the word counts and contexts, broadcast.
 
-    It has ``ROWS * BUCKETS`` counters however large the corpus is (16 MB). Words
-    rarer than ``LEAST`` never count as known, so they are left out.
+    They have ``2 * ROWS * BUCKETS`` counters however large the corpus is (48 MB).
+    Words rarer than ``LEAST`` never count as known, so they are left out.
     """
 
     def place(batches):
         for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            at = np.array([encoding.buckets(w) for w in words], np.int32).reshape(-1)
-            yield pa.RecordBatch.from_pydict({"at": at, "n": np.repeat(n, encoding.ROWS)})
+            plain, words, n, contexts = (batch.column(i) for i in range(4))
+            at = np.array([encoding.buckets(w) for w in words.to_pylist()], np.int32).reshape(-1, encoding.ROWS)
+            at += np.array(plain.to_pylist(), np.int32).reshape(-1, 1) * np.int32(encoding.ROWS * encoding.BUCKETS)
+            yield pa.RecordBatch.from_pydict({"at": at.reshape(-1), "n": np.repeat(n.to_numpy(), encoding.ROWS), "contexts": np.repeat(contexts.to_numpy(), encoding.ROWS)})
 
     cells = (
         word_counts(docs, column)
         .filter(F.col("n") >= encoding.LEAST)
-        .mapInArrow(place, "at int, n long")
+        .mapInArrow(place, "at int, n long, contexts long")
         .groupBy("at")
-        .agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
-        .toPandas()  # at most ROWS * BUCKETS rows
+        .agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"), F.least(F.sum("contexts"), F.lit(2**15 - 1)).cast("int").alias("contexts"))
+        .toPandas()  # at most 2 * ROWS * BUCKETS rows
     )
-    return docs.sparkSession.sparkContext.broadcast((cells["at"].to_numpy(np.int32), cells["n"].to_numpy(np.int32)))
+    return docs.sparkSession.sparkContext.broadcast((cells["at"].to_numpy(np.int32), cells["n"].to_numpy(np.int32), cells["contexts"].to_numpy(np.int16)))
 
 
 def repairer(cells: Broadcast) -> encoding.Repairer:
     """The worker's repairer for a sketch; one for all tasks of the worker."""
     key = id(cells.value[0])
     if key not in _repairers:
-        counts = np.zeros(encoding.ROWS * encoding.BUCKETS, np.int32)
-        counts[cells.value[0]] = cells.value[1]
+        at, n, contexts = cells.value
+        size = encoding.ROWS * encoding.BUCKETS
+        counts, near = np.zeros(2 * size, np.int32), np.zeros(2 * size, np.int16)
+        counts[at], near[at] = n, contexts
         _repairers.clear()
-        _repairers[key] = encoding.Repairer(encoding.WordCounts(counts))
+        _repairers[key] = encoding.Repairer(encoding.WordCounts(counts[:size], near[:size], counts[size:], near[size:]))
     return _repairers[key]
 
 
