@@ -108,3 +108,25 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100, 199: 199, 200: 199}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    rows = []
+    for i in range(600):
+        both = [f"c{i}x{j}" for j in range(62)]
+        for side in "ab":
+            rows.append((len(rows), " ".join([*both, *[f"{side}{i}x{j}" for j in range(20)]])))  # 60 of 100 shingles
+    df = spark.createDataFrame(rows, "id long, t string")
+    members, linked = N.links(materialize(N.features(df, "id", "t"), "f"))
+    assert {(r["rep_a"], r["rep_b"]) for r in linked.collect()} == {(i, i + 1) for i in range(0, 1200, 2)}
+
+
+def test_the_sketch_drops_no_pair_at_the_threshold():
+    rng = N.np.random.default_rng(3)
+    k, dropped = N.BANDS * N.DEPTH, 0
+    for _ in range(10_000):
+        a = rng.integers(0, 2**63, k, dtype=N.np.uint64)
+        b = N.np.where(rng.random(k) < N.THRESHOLD, a, rng.integers(0, 2**63, k, dtype=N.np.uint64))
+        ones = sum(int(x).bit_count() for x in (N.odd_sketch(a) ^ N.odd_sketch(b)).view(N.np.uint64))
+        dropped += ones > N.most_ones(N.THRESHOLD - N.SLACK)
+    assert dropped == 0

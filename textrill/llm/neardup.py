@@ -13,11 +13,13 @@
    that two rows share; only keys of three rows or more are joined with their
    rows, and those that very many rows share are split into blocks, and blocks
    compared with blocks, so no task holds a whole group. Candidates whose
-   sketches put the similarity under the threshold less ``SLACK`` end there.
+   sketches put the similarity under the threshold less ``SLACK``, five standard
+   deviations of the estimate, end there, as do those whose sizes alone keep
+   them under the threshold.
 4. What remains is compared exactly, on the shingle sets.
 
 A pair at similarity s is a candidate with probability 1-(1-s^DEPTH)^BANDS:
-0.988 at 0.6, 0.9997 at 0.7, above 0.999999 at 0.8 with the values below.
+0.99994 at 0.6, above 0.99999999 at 0.7 with the values below.
 
 Null texts and texts under ``LEAST_WORDS`` words are in no class and no pair.
 Repeated rows are copies like any other. Very long texts are hashed in pieces
@@ -41,10 +43,10 @@ from textrill.llm.common import materialize, spread, table
 WIDTH = 3
 THRESHOLD = 0.6
 LEAST_WORDS = 20
-BANDS = 30
-DEPTH = 4
-BITS = 256
-SLACK = 0.2
+BANDS = 40
+DEPTH = 3
+BITS = 512
+SLACK = 0.32
 BLOCK = 512
 BROADCAST_ROWS = 1_000_000
 
@@ -193,11 +195,12 @@ def links(found: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     members = materialize(found.select("id", "class").join(first, "class").select("id", "rep", "copies"), "p5-members")
     copies = small(materialize(members.filter("id <> rep").select("id"), "p5-copies"))
     reps = found.join(copies, "id", "left_anti")
-    sketches = reps.select("id", "sketch")
+    sketches = reps.select("id", "sketch", "n")
     near = (
         candidates(reps)
-        .join(sketches.toDF("a_id", "a_sketch"), "a_id")
-        .join(sketches.toDF("b_id", "b_sketch"), "b_id")
+        .join(sketches.toDF("a_id", "a_sketch", "na"), "a_id")
+        .join(sketches.toDF("b_id", "b_sketch", "nb"), "b_id")
+        .filter(F.least("na", "nb") / F.greatest("na", "nb") >= threshold)
         .filter(_ones("a_sketch", "b_sketch", BITS // 64) <= most_ones(threshold - SLACK))
         .select("a_id", "b_id")
     )
