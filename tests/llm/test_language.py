@@ -71,3 +71,28 @@ def test_labels_without_training_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f")], "id long, t string")
     _, n = L.document_frequency(df, "t")
     assert n == 1
+
+
+class Fixed:
+    """A model that reads the language and its probability from the words."""
+
+    langs = ["ca", "en"]
+
+    def probabilities(self, words):
+        k, p = (1 if "english" in words else 0), (0.6 if "perhaps" in words else 0.995)
+        return L.np.array([p, 1 - p] if k == 0 else [1 - p, p])
+
+
+def test_one_sure_sentence_tells_a_language():
+    text = "This is surely an english sentence. This is perhaps a much longer english sentence with many more words in it, perhaps."
+    (found,) = L.surest_passages(Fixed(), text)
+    assert found[3] < L.SURE <= found[5]
+    assert L.passages(Fixed(), text) == [found[:5]]
+
+
+def test_short_sentences_count_where_the_model_is_sure():
+    before = "Una frase que té prou paraules. "
+    assert [p[2] for p in L.surest_passages(Fixed(), before + "An english one.")] == ["ca", "en"]
+    assert [p[2] for p in L.surest_passages(Fixed(), before + "See english 12 of ann@b.org today.")] == ["ca", "en"]
+    for other in ("Perhaps english here.", "english heading here", "English words."):
+        assert [p[2] for p in L.surest_passages(Fixed(), before + other)] == ["ca"]

@@ -12,8 +12,10 @@ calibrated with one temperature on held-out sentences.
   smallest hash of their key), cut into sentences, each also in lower case
   without accents, as some backends store text. Everything else uses all rows.
 * Passages: sentences of at least ``MIN_WORDS`` words get a language of their
-  own; shorter ones (headings, codes, quoted titles) join the passage before.
-  Neighbours of one language form a passage.
+  own, and so do those of ``SHORT_WORDS`` that end like a sentence where the
+  model is ``SURE_SHORT``; others (headings, codes, quoted titles) join the
+  passage before. Neighbours of one language form a passage. Its confidence is
+  the mean over its sentences, ``surest`` that of its surest sentence.
 
 Null, empty and word-less texts have language null and confidence 0.
 """
@@ -35,7 +37,9 @@ ORDERS = (1, 2, 3, 4)
 SCALE = 40.0
 MAX_TRAIN = 5_000
 MIN_WORDS = 5
+SHORT_WORDS = 3
 SURE = 0.9
+SURE_SHORT = 0.99
 MEMORY = 300_000
 
 # Names and codes of the languages in use.
@@ -50,6 +54,7 @@ NAMES = {
 _WORDS = re.compile(r"[^\W\d_]+")
 # a sentence ends at . ! ? before a blank, or at a line break
 _ENDS = re.compile(r"(?<=[^\W\d_][.!?])[\"”»)]?\s+|(?<=\d[.!?])\s+(?=[^\W\d_])|(?<=[.!?][\"”»)])\s+|\n+")
+_CLOSED = re.compile(r"[.!?][\"”»)]?\s*\Z")
 # pieces that are no words of a sentence: quoted titles, addresses, codes
 _QUOTED = re.compile(r"«[^«»\n]{1,60}»|\S*(?:@|\(at\)|\[at\]|\(arroba\))\S*|\S*\d\S*")
 
@@ -216,19 +221,24 @@ def fit(docs: DataFrame, column: str, labelled: DataFrame) -> Model:
 
 def passages(model: Model, text: str | None) -> list[tuple[int, int, str, float, int]]:
     """(start, end, language, confidence, whole sentences) of the passages of a text."""
+    return [p[:5] for p in surest_passages(model, text)]
+
+
+def surest_passages(model: Model, text: str | None) -> list[tuple[int, int, str, float, int, float]]:
+    """The passages, each with the confidence of its surest sentence (0 where it has no whole one)."""
     if not text:
         return []
     out: list[list] = []
     start = None
     for a, b in sentences(text):
         words = _WORDS.findall(_QUOTED.sub(" ", text[a:b]).lower())
-        if len(words) < MIN_WORDS:
+        p = model.probabilities(words) if len(words) >= MIN_WORDS or (len(words) >= SHORT_WORDS and _CLOSED.search(text, a, b)) else None
+        if p is None or (len(words) < MIN_WORDS and p.max() < SURE_SHORT):
             if out:
                 out[-1][1] = b
             elif start is None:
                 start = a
             continue
-        p = model.probabilities(words)
         k = int(p.argmax())
         if out and out[-1][2] == k:
             out[-1][1] = b
@@ -241,25 +251,25 @@ def passages(model: Model, text: str | None) -> list[tuple[int, int, str, float,
         if not words:
             return []
         p = model.probabilities(words)
-        return [(0, len(text), model.langs[int(p.argmax())], float(p.max()), 0)]
-    return [(a, b, model.langs[k], sum(p * n for p, n in q) / sum(n for _, n in q), len(q)) for a, b, k, q in out]
+        return [(0, len(text), model.langs[int(p.argmax())], float(p.max()), 0, 0.0)]
+    return [(a, b, model.langs[k], sum(p * n for p, n in q) / sum(n for _, n in q), len(q), max(p for p, _ in q)) for a, b, k, q in out]
 
 
 def segments(docs: DataFrame, key: str, column: str, model: Model) -> DataFrame:
-    """(key, segment, start, end, lang, confidence, sentences): the passages of every row."""
+    """(key, segment, start, end, lang, confidence, sentences, surest): the passages of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            rows = [(k, i, *p) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, p in enumerate(passages(m, t))]
-            names = ["id", "segment", "start", "end", "lang", "confidence", "sentences"]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
-            cols = list(zip(*rows)) or [()] * 7
+            rows = [(k, i, *p) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, p in enumerate(surest_passages(m, t))]
+            names = ["id", "segment", "start", "end", "lang", "confidence", "sentences", "surest"]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.float64()]
+            cols = list(zip(*rows)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     rows = spread(docs.select(F.col(key).cast("long").alias("id"), F.col(column).alias("text")))
-    return rows.mapInArrow(run, "id long, segment int, start int, end int, lang string, confidence double, sentences int").withColumnRenamed("id", key)
+    return rows.mapInArrow(run, "id long, segment int, start int, end int, lang string, confidence double, sentences int, surest double").withColumnRenamed("id", key)
 
 
 def _model(spark, sf_dir) -> tuple[DataFrame, Model]:
@@ -271,7 +281,7 @@ def _model(spark, sf_dir) -> tuple[DataFrame, Model]:
 def p1_segments(spark, sf_dir):
     """The passages of every row with language and confidence."""
     docs, model = _model(spark, sf_dir)
-    return segments(docs, "id", "content_norm", model)
+    return segments(docs, "id", "content_norm", model).drop("surest")
 
 
 def p1_rows(spark, sf_dir):
@@ -285,7 +295,7 @@ def p1_rows(spark, sf_dir):
 def p1_found(spark, sf_dir):
     """(id, lang) of languages with a whole sentence in the row that no label of the row names."""
     docs, model = _model(spark, sf_dir)
-    spoken = segments(docs, "id", "content_norm", model).filter((F.col("sentences") > 0) & (F.col("confidence") >= SURE)).select("id", "lang").distinct()
+    spoken = segments(docs, "id", "content_norm", model).filter(F.col("surest") >= SURE).select("id", "lang").distinct()
     tags = table(spark, sf_dir, "index_tags").filter("kind = 'meta' AND lower(value) LIKE 'lang:%'")
     named = tags.select(F.col("doc_id").alias("id"), label_code(F.substring("value", 6, 1000)).alias("lang")).filter("lang IS NOT NULL")
     return spoken.join(named, ["id", "lang"], "left_anti")
