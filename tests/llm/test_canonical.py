@@ -56,3 +56,8 @@ def test_table(spark):
     got = sorted((r["id"], r["field"], r["canonical"], tuple(r["kinds"]), r["garbled"]) for r in repair.canonical_text(df, "id", ["t", "c"], "c").collect() if r["kinds"])
     assert got == [(1, "c", "café", ("decomposed",), False), (1, "t", "Title", ("fullwidth",), False), (3, "c", "recepciÃ³ fin", ("ligature",), True), (4, "t", "a b", ("space",), False), (4, "t", "a b", ("space",), False)]
     assert repair.canonical_text(df.limit(0), "id", ["t", "c"], "c").count() == 0
+
+
+def test_invisible_characters_of_the_last_planes():
+    for c in ("\U000e0001", "\U000e0041", "\U000e007f", "\U000e0100", "\U000e01ef"):
+        assert C.canonicalize(f"ca{c}fé") == ("café", ("invisible",))

@@ -53,7 +53,7 @@ def _ranges(points: list[int]) -> str:
 def _classes() -> dict[str, object]:
     """Character classes, derived from the Unicode database by rule."""
     wide, joined, mark, invisible, space, foreign, unstable = [], [], [], [], [], [], []
-    for p in range(0x80, 0x20000):
+    for p in range(0x80, sys.maxunicode + 1):
         c = chr(p)
         cat = unicodedata.category(c)
         if cat in ("Cn", "Co", "Cs"):
@@ -61,7 +61,7 @@ def _classes() -> dict[str, object]:
         kind = unicodedata.decomposition(c).partition(">")[0]
         if cat == "Zs" or p in (0x2028, 0x2029):
             space.append(p)
-        elif cat == "Cf" or p in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0xFE00 <= p <= 0xFE0F:
+        elif cat == "Cf" or p in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0xFE00 <= p <= 0xFE0F or 0xE0100 <= p <= 0xE01EF:
             invisible.append(p)
         elif kind == "<wide" and p > 0xFF00:
             wide.append(p)
