@@ -52,3 +52,9 @@ def test_odd_rows(spark, fitted):
     assert {v for i, v in got if i in (1, 2, 3)} == {None}
     assert len({v for i, v in got if i == 4}) == 1
     assert R.graded_levels(R.cut_into_items(df.limit(0), "id", "t"), "id", model).count() == 0
+
+
+def test_too_many_graded_passages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(R, "MAX_GRADED", 5)
+    with pytest.raises(ValueError, match="more than 5"):
+        R.p8_levels(spark, "/root/testdata/sf0.001")

@@ -42,6 +42,8 @@ REF_SHARE = 0.5
 RIDGE = 1.0
 LEAST_WORDS = 30
 DEMANDING = 4
+# graded passages are gathered on the driver; more are refused, not cut
+MAX_GRADED = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"[^\W_]+")
@@ -244,7 +246,9 @@ def _levels(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     refs = table(spark, sf_dir, "reading_refs")
     cut = materialize(cut_into_items(docs, "doc_id", "text"), "p8-items")
-    graded = [(r["lang"], r["text"], r["level"]) for r in refs.select("lang", "text", "level").limit(100_000).collect()]
+    graded = [(r["lang"], r["text"], r["level"]) for r in refs.select("lang", "text", "level").limit(MAX_GRADED + 1).collect()]
+    if len(graded) > MAX_GRADED:
+        raise ValueError(f"reading_refs holds more than {MAX_GRADED} passages, which one machine is not meant to fit")
     return graded_levels(cut, "doc_id", fit(cut, graded))
 
 
