@@ -119,3 +119,8 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, t string")
     assert P.disclosing_terms(P.term_statistics(df, "t")).count() == 0
     assert P.entity_statistics(spark.createDataFrame([(None,), ("Isbéi  Nablosk ",)], "n string"), "n").count() == 3
+
+
+@pytest.mark.parametrize("number", ["2 85 05 2A 123 456 78", "2 85 05 2B 123 456", "185052A12345678", "185052b123456"])
+def test_identity_with_a_lettered_department(number):
+    assert kinds(f"The form names document {number} as proof.") == [("identity", number)]

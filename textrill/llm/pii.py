@@ -98,7 +98,8 @@ _ADDRESS_BEFORE = re.compile(
 _ADDRESS_AFTER = re.compile(rf",? (?:(?:{TYPE_FRENCH}) {_link}{_name}|{_name}(?: {_name})?? (?:{TYPE_ENGLISH})(?!\w))", re.I)
 _TYPE_BEFORE = re.compile(rf"(?:(?<!\w)(?:{TYPE_FIRST})|(?:{TYPE_GERMAN}))(?!\w)", re.I)
 # runs of digits long enough for a number that identifies someone
-_RUN = re.compile(r"\d(?:[ .\-/()]{0,3}\d){5,}")
+# (2A and 2B are departments inside a numéro de sécurité sociale)
+_RUN = re.compile(r"\d(?: ?2[ABab](?= ?\d)|[ .\-/()]{0,3}\d){5,}")
 _DATE = re.compile(r"\d{4}-\d\d-\d\d|\d{1,2}([/.])\d{1,2}\1\d{4}")
 
 # What announces a person, lower-case without accents, in the languages in use.
