@@ -1,6 +1,5 @@
 """Round-trip repair against texts garbled on purpose."""
 
-import numpy as np
 import pytest
 
 from textrill.llm import encoding as E
@@ -9,20 +8,29 @@ from textrill.llm import repair
 CLEAN = ["La recepció neteja la cançó fràgil després de dinar", "Die Müllabfuhr schließt die kleine Tür", "L'équipe répare la clôture à côté de l'école", "El árbol pequeño está en el rincón"]
 
 
-def sketch_of(texts, times=20):
+class Fixer:
+    """Repairs single texts by given counts."""
+
+    def __init__(self, counts):
+        self.judge = E.Judge(E.WordCounts(counts))
+
+    def repair(self, text):
+        return E.repair(text, self.judge.evidence)
+
+
+def counts_of(texts, times=20):
     counts = {}
     for t in texts:
-        E.count_words(t, counts)
-    table = np.zeros(E.ROWS * E.BUCKETS, np.int32)
-    for w, n in counts.items():
-        for b in E.buckets(w):
-            table[b] += n * times
-    return E.WordCounts(table)
+        for key in E.words_in(t):
+            if not key[0]:
+                n = counts.get(key, (0, 0))[0] + times
+                counts[key] = (n, n)
+    return counts
 
 
 @pytest.fixture(scope="module")
 def fixer():
-    return E.Repairer(sketch_of(CLEAN))
+    return Fixer(counts_of(CLEAN))
 
 
 @pytest.mark.parametrize("text", CLEAN)
@@ -95,14 +103,48 @@ def test_contexts_are_exact_up_to_their_limit(spark):
 
 @pytest.mark.parametrize("text", ["Òpera i camí", "BAILÓ el día", "ôter la pièce", "le bail", "CAMIÓ"])
 def test_words_that_only_look_like_typography_are_kept(text):
-    counts, plain = {}, {}
-    for t in ["día camí pièce", "pera bail ter cami d'a"]:
-        for w in t.split():
-            (counts if not w.isascii() else plain)[w] = 500
-    tables = []
-    for c in (counts, plain):
-        table = np.zeros(E.ROWS * E.BUCKETS, np.int32)
-        for w, n in c.items():
-            table[E.buckets(w)] += n
-        tables.append(table)
-    assert E.Repairer(E.WordCounts(tables[0], None, tables[1])).repair(text) == (text, [], 0)
+    counts = {(w.isascii(), w): (500, 500) for w in "día camí pièce pera bail ter cami d'a".split()}
+    assert Fixer(counts).repair(text) == (text, [], 0)
+
+
+def test_both_ways_to_pick_texts_are_the_same(spark):
+    garbled = [decoded(t, "utf-8", "cp1252") for t in CLEAN] + [decoded(t, "cp1252", "cp850") for t in CLEAN]
+    rows = list(enumerate([*CLEAN * 10, *garbled, None, "", "plain", garbled[0]]))
+    df = spark.createDataFrame(rows, "id long, t string")
+    a = sorted(map(tuple, repair.repaired(df, "id", "t").collect()))
+    assert a == sorted(map(tuple, repair.repaired(df, "id", "t", broadcast_tokens=-1).collect()))
+    assert sum(n > 0 for _, n, _, _ in a) == len(garbled) + 1
+
+
+def test_every_word_a_judgement_asks_for_is_joined():
+    class Recording(E.WordCounts):
+        asked = set()
+
+        def of(self, word):
+            self.asked.add((False, word.lower()))
+            return 9
+
+        contexts_of = of
+
+        def plain_of(self, word):
+            self.asked.add((True, word))
+            return 9
+
+        plain_contexts_of = plain_of
+
+    for text in CLEAN:
+        for right, wrong in [("utf-8", "cp1252"), ("utf-8", "cp850"), ("cp1252", "cp850"), ("mac_roman", "cp1252")]:
+            for token in decoded(text + " don’t “l’élève” col·legi", right, wrong).split(" "):
+                Recording.asked = set()
+                E.Judge(Recording({})).evidence(token)
+                assert {k for k in Recording.asked if not k[1].isascii() or k[0]} <= E.words_to_judge(token), token
+
+
+@pytest.mark.parametrize("text", ["x" * 300_000, "é" * 100_000, "x" * 300_000 + "é", "é," * 50_000, "»" * 100_000])
+def test_unbroken_texts_take_one_scan(fixer, text):
+    import time
+
+    started = time.time()
+    fixer.repair(text)
+    E.words_to_judge(text)
+    assert time.time() - started < 10

@@ -6,12 +6,17 @@ as U+0020, and look-alike letters of other scripts inside Latin words written
 as the Latin letter. Ordinary typography (quotes, dashes, fractions, ordinals,
 sub- and superscripts, symbols) and whole words of another script stay.
 
-The text is scanned once for characters whose normalization quick-check value
-is not "yes" or that belong to the classes above. Only the segments around them,
-widened to the preceding starter, are normalized and spliced back, so stable
-text is never rewritten.
+The text is scanned once for runs of characters whose normalization quick-check
+value is not "yes" or that belong to the classes above. Only such runs, each with
+the starter before it as boundary context, are normalized and spliced back, so
+stable text is never rewritten. Letters of other scripts have the word they stand
+in as context and are judged in a second scan, over words, if there are any. A
+letter counts as a look-alike by its base letter, so accents above it stay.
 
-Null stays null, empty stays empty; very long texts cost one linear scan.
+Letters of another script in a Latin word that look like no Latin letter are told
+(kind ``foreign_letter``) and kept, as there is no form to bring them to.
+
+Null stays null, empty stays empty; a text of any length and shape costs two linear scans.
 """
 
 from __future__ import annotations
@@ -31,7 +36,10 @@ LOOKALIKES = {
     "ό": "ó", "ί": "í", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X",
-    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g",
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "ք": "p", "յ": "j", "Տ": "S", "Օ": "O", "Լ": "L",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲙ": "M", "Ⲛ": "N", "Ⲏ": "H", "Ⲕ": "K", "Ⲧ": "T",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M",
+    "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
 }
 
 KINDS = ("fullwidth", "ligature", "decomposed", "invisible", "space", "foreign_letter")
@@ -76,17 +84,16 @@ def _classes() -> dict[str, object]:
     every = sorted({*wide, *joined, *mark, *invisible, *space, *foreign, *unstable})
     body = {k: _ranges(v) for k, v in (("wide", wide), ("joined", joined), ("mark", mark), ("invisible", invisible), ("space", space), ("foreign", foreign))}
     latin = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ"
-    letter = f"{latin}{body['foreign']}{body['wide']}{body['mark']}{body['invisible']}"
     return {
         "body": body,
         "any": re.compile(f"[{_ranges(every)}]"),
-        "span": re.compile(f"[^ \t\r\n]*[{_ranges(every)}][^ \t\r\n]*"),
-        "word": re.compile(f"[{letter}]*[{body['foreign']}][{letter}]*"),
+        "run": re.compile(f"[{_ranges(every)}]+"),
+        "letters": re.compile(f"[{latin}{body['foreign']}{body['mark']}]+"),
         "latin": re.compile(f"[{latin}]"),
         "foreign": re.compile(f"[{body['foreign']}]"),
-        "wide": re.compile(f"[{body['wide']}]"),
+        "wide": re.compile(f"[{body['wide']}]+"),
         "joined": re.compile(f"[{body['joined']}]"),
-        "invisible": re.compile(f"[{body['invisible']}]"),
+        "invisible": re.compile(f"[{body['invisible']}]+"),
         "space": re.compile(f"[{body['space']}]"),
         "mark": re.compile(f"[{body['mark']}]"),
     }
@@ -95,10 +102,21 @@ def _classes() -> dict[str, object]:
 _LOOK = str.maketrans(LOOKALIKES)
 
 
+@lru_cache(4096)
+def _latin_form(c: str) -> str:
+    """The Latin letter a letter of another script looks like: that of its base letter, with its accents; else itself."""
+    if c in LOOKALIKES:
+        return LOOKALIKES[c]
+    base, *marks = unicodedata.normalize("NFD", c)
+    return unicodedata.normalize("NFC", LOOKALIKES[base] + "".join(marks)) if base in LOOKALIKES else c
+
+
 def _fix_word(m: re.Match) -> str:
     """A word with letters of two scripts, Latin among them, in Latin letters."""
-    w = m.group()
-    return w.translate(_LOOK) if _classes()["latin"].search(w) else w
+    w, k = m.group(), _classes()
+    if w.isascii() or not k["foreign"].search(w) or not k["latin"].search(w):
+        return w
+    return k["foreign"].sub(lambda x: _latin_form(x.group()), w)
 
 
 def _segment(text: str, found: set[str]) -> str:
@@ -120,16 +138,22 @@ def _segment(text: str, found: set[str]) -> str:
         composed = unicodedata.normalize("NFC", text)
         if len(composed) < len(text):
             found.add("decomposed")
-        text = composed
-    elif not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
-    if k["foreign"].search(text):
-        fixed = k["word"].sub(_fix_word, text)
-        if fixed != text or any(k["latin"].search(w) for w in k["word"].findall(text)):
-            found.add("foreign_letter")
-        # an accent may compose with the letter it now stands on
-        text = unicodedata.normalize("NFC", fixed)
-    return text
+        return composed
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
+def _one_script(text: str, found: set[str]) -> str:
+    """Latin words without letters of another script; accents compose with the letter they now stand on."""
+    k = _classes()
+    out, at = [], 0
+    for m in k["letters"].finditer(text):
+        w = m.group()
+        if w.isascii() or not k["foreign"].search(w) or not k["latin"].search(w):
+            continue
+        found.add("foreign_letter")
+        out += [text[at : m.start()], unicodedata.normalize("NFC", _fix_word(m))]
+        at = m.end()
+    return "".join([*out, text[at:]]) if at else text
 
 
 def canonicalize(text: str | None) -> tuple[str | None, tuple[str, ...]]:
@@ -141,15 +165,16 @@ def canonicalize(text: str | None) -> tuple[str | None, tuple[str, ...]]:
         return text, ()
     found: set[str] = set()
     out, at = [], 0
-    for m in k["span"].finditer(text):
-        start, end = m.span()
-        # boundary context: a combining mark after a blank belongs to that blank
-        while start > at and unicodedata.combining(text[start]):
-            start -= 1
-        out += [text[at:start], _segment(text[start:end], found)]
-        at = end
+    for m in k["run"].finditer(text):
+        # boundary context: the starter before the run, which its marks may compose with
+        start = max(m.start() - 1, at)
+        out += [text[at:start], _segment(text[start : m.end()], found)]
+        at = m.end()
     out.append(text[at:])
-    return "".join(out), tuple(x for x in KINDS if x in found)
+    text = "".join(out)
+    if k["foreign"].search(text):
+        text = _one_script(text, found)
+    return text, tuple(x for x in KINDS if x in found)
 
 
 def plain_marks(text: str) -> str:
@@ -194,7 +219,7 @@ def letters_map(text: str) -> tuple[str, list[int]]:
         i = j
     plain = "".join(out)
     if k["foreign"].search(plain):
-        plain = k["word"].sub(_fix_word, plain)
+        plain = k["letters"].sub(_fix_word, plain)
     at.append(n)
     return plain, at
 

@@ -7,8 +7,7 @@ only when a garbling cost drops.
 * Intended UTF-8: each maximal piece whose characters, as bytes of the legacy
   encoding, are one well-formed multi-byte UTF-8 sequence is replaced by the
   character it encodes, if that character is one of the expected ones. Repeated
-  for nested layers. Well-formedness is what makes the cost drop here: several
-  rare characters become one common letter.
+  for nested layers. Such pieces are part of the cost, ``SEQUENCE`` each.
 * Intended single-byte encodings: every byte decodes, so the cost is corpus
   evidence: minus the logarithm of a word's count over *all* rows, and of its
   distinct contexts (the words beside it, up to ``CONTEXTS``), which copies
@@ -19,9 +18,9 @@ only when a garbling cost drops.
   stand in or at, ASCII words included. A lone dash or opening quote is no
   evidence of its own; it follows the cause found for the text.
 
-Counts are kept in count-min sketches of ``ROWS`` x ``BUCKETS`` counters, one for
-non-ASCII words and one for ASCII ones and those with an apostrophe, whatever
-the size of the corpus, so a worker's tables have a proven bound (48 MB).
+Counts are exact, those of the words in a token and in its candidate repairs,
+so a judgement is the same however large the vocabulary of the corpus is. Words
+with fewer than ``LEAST`` occurrences count as none.
 
 Null and empty texts are returned unchanged with no layers. Characters lost for
 good (U+FFFD) mark the row as garbled; the mark stays where the corpus holds no
@@ -32,15 +31,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Mapping
 from functools import lru_cache
+from typing import NamedTuple
 
-import numpy as np
 import xxhash
 
 from textrill.llm import canonical
 
-BUCKETS = 1 << 20
-ROWS = 4
 RATIO = 12.0
 SEQUENCE = 4.0
 LEAST = 4
@@ -97,6 +95,19 @@ def _undo_utf8(text: str, pattern: re.Pattern, back: dict[int, int]) -> tuple[st
     return pattern.sub(one, text), changed
 
 
+@lru_cache(1)
+def _any_sequence() -> re.Pattern:
+    return re.compile("|".join(pattern.pattern for pattern, _ in _utf8_rules()))
+
+
+def sequences(text: str) -> int:
+    """How many pieces of a text are well-formed UTF-8 of an expected character, seen as legacy characters."""
+    n = 0
+    for m in _any_sequence().finditer(text):
+        n += any(_undo_utf8(m.group(), pattern, back)[1] for pattern, back in _utf8_rules() if pattern.fullmatch(m.group()))
+    return n
+
+
 def _deeper(c: str, was: str) -> list[bool]:
     """A character that is itself part of another garbled layer, such as those of Latin-1 bytes."""
     return ["\x80" <= c <= "ÿ" and len(was) > 1]
@@ -119,40 +130,35 @@ def _moves() -> dict[str, dict[int, str]]:
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’·][^\W\d_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+# tokens with a character that is not ASCII; looked for at token starts only, so that any text costs one scan
+_TOKEN = re.compile(r"(?<![^ \t\r\n])[^ \t\r\n\x80-\U0010ffff]*+[^\x00-\x7f][^ \t\r\n]*+")
 
 
-def buckets(word: str) -> list[int]:
-    """One counter of each row of the sketch, as positions in the flattened table."""
-    h = xxhash.xxh3_128_intdigest(word.encode("utf-8", "surrogatepass"))
-    return [((h >> (20 * r)) & (BUCKETS - 1)) + r * BUCKETS for r in range(ROWS)]
+def words_in(text: str) -> set[tuple[bool, str]]:
+    """The words of a text as they are counted: (plain, word), plain being ASCII words and those with an apostrophe."""
+    low = text.lower()
+    out = {(False, w) for w in _LETTERS.findall(low) if not w.isascii()}
+    out.update((True, w) for w in _WORD.findall(low.replace("’", "'")) if w.isascii() or "'" in w)
+    return out
 
 
 class WordCounts:
-    """Counters of the corpus's words with non-ASCII letters, of their contexts, and both for plain words."""
+    """Occurrences and distinct contexts of words, by (plain, word); words it does not hold have none."""
 
-    def __init__(self, table: np.ndarray, contexts: np.ndarray | None = None, plain: np.ndarray | None = None, plain_contexts: np.ndarray | None = None):
-        self.table, self.contexts, self.plain, self.plain_contexts = table, contexts, plain, plain_contexts
+    def __init__(self, counts: Mapping[tuple[bool, str], tuple[int, int]]):
+        self.counts = counts
 
     def of(self, word: str) -> int:
-        return self._least(self.table, word)
+        return self.counts.get((False, word.lower()), (0, 0))[0]
 
     def contexts_of(self, word: str) -> int:
-        return self.of(word) if self.contexts is None else min(self._least(self.contexts, word), CONTEXTS)
+        return self.counts.get((False, word.lower()), (0, 0))[1]
 
     def plain_of(self, word: str) -> int:
-        return 0 if self.plain is None else self._least(self.plain, word)
+        return self.counts.get((True, word), (0, 0))[0]
 
     def plain_contexts_of(self, word: str) -> int:
-        return self.plain_of(word) if self.plain_contexts is None else min(self._least(self.plain_contexts, word), CONTEXTS)
-
-    @staticmethod
-    def _least(table: np.ndarray, word: str) -> int:
-        return int(min(table[b] for b in buckets(word.lower())))
-
-    def drop(self, before: str, after: str) -> float:
-        """How far the garbling cost drops, by rows or by contexts, whichever tells more."""
-        return max(self.cost(before, of) - self.cost(after, of) for of in (self.of, self.contexts_of))
+        return self.counts.get((True, word), (0, 0))[1]
 
     def typography(self, before: str, after: str) -> tuple[float, bool]:
         """(drop, evidence) where letters of ``before`` were typography; 0 where a mark stands in no place of its own.
@@ -193,8 +199,8 @@ class WordCounts:
         return best, evidence
 
     def cost(self, text: str, of=None) -> float:
-        """Garbling cost of a token: minus log counts of its non-ASCII words, plus a charge for misplaced characters."""
-        total, of = 0.0, of or self.of
+        """Garbling cost of a token: minus log counts of its non-ASCII words, plus charges for misplaced characters and UTF-8 sequences."""
+        total, of = SEQUENCE * sequences(text), of or self.of
         for w in _LETTERS.findall(text):
             if w.isascii():
                 continue
@@ -202,10 +208,10 @@ class WordCounts:
             inner = w[1:]
             if inner != inner.lower() and inner != inner.upper():
                 total += 2.0  # capitals inside a word
-        for i, c in enumerate(text):
-            if c.isascii() or c.isalpha() or c in "“”‘’«»–—…¿¡·":
-                continue
-            total += 3.0 if text[i - 1 : i].isalpha() or text[i + 1 : i + 2].isalpha() else 0.5
+        odd = {c for c in set(text) if not (c.isascii() or c.isalpha() or c in "“”‘’«»–—…¿¡·")}
+        for i, c in enumerate(text) if odd else ():
+            if c in odd:
+                total += 3.0 if text[i - 1 : i].isalpha() or text[i + 1 : i + 2].isalpha() else 0.5
         return total
 
     def all_known(self, text: str) -> bool:
@@ -214,17 +220,6 @@ class WordCounts:
         return bool(words) and all(len(w) > 2 and w[1:] in (w[1:].lower(), w[1:].upper()) and self.of(w) >= LEAST for w in words)
 
 
-def count_words(text: str | None, into: dict[str, int]) -> None:
-    """Add the non-ASCII words of a text to a map of word to count."""
-    if not text or text.isascii():
-        return
-    for token in _TOKEN.findall(text):
-        for w in _LETTERS.findall(token):
-            if not w.isascii():
-                w = w.lower()
-                into[w] = into.get(w, 0) + 1
-
-
 def count_contexts(text: str | None, into: dict[tuple[bool, str], list]) -> int:
     """Add the words of a text to a map of (plain, word) to [count, hashes of contexts]; returns how many contexts came.
 
@@ -253,104 +248,136 @@ def count_contexts(text: str | None, into: dict[tuple[bool, str], list]) -> int:
     return came
 
 
-class Repairer:
-    """Repairs texts; decisions about tokens are remembered, up to ``memory`` distinct ones."""
+class Evidence(NamedTuple):
+    """What is known of a token: its repair and the cause, or neither; and by cause how far the garbling cost
+    drops if that is undone, whether the corpus has its words, and the drop by rows alone."""
+
+    fixed: str | None
+    how: str | None
+    causes: dict[str, tuple[float, bool, float]]
+
+    @property
+    def suspicious(self) -> bool:
+        """Whether the token alone can make a text count as garbled."""
+        return self.fixed is not None or any(known and drop > 0 for drop, known, _ in self.causes.values())
+
 
-    def __init__(self, counts: WordCounts, memory: int = 200_000):
+def undone(token: str) -> list[str]:
+    """Every text that layers of UTF-8 read as a legacy encoding can have come from."""
+    seen, now = [], {token}
+    for _ in range(MAX_LAYERS):
+        now = {new for t in now for pattern, back in _utf8_rules() for new, n in [_undo_utf8(t, pattern, back)] if n} - set(seen)
+        if not now:
+            break
+        seen += sorted(now)
+    return seen
+
+
+def words_to_judge(token: str) -> set[tuple[bool, str]]:
+    """The words whose counts decide about a token: its own and those of all its candidate repairs."""
+    plain = canonical.plain_marks(token)
+    out = words_in(token) | words_in(plain)
+    for new in (*undone(token), *(plain.translate(moves) for _, _, moves in _pair_tables())):
+        out |= words_in(new)
+    return out
+
+
+class Judge:
+    """Decides about tokens from counts."""
+
+    def __init__(self, counts: WordCounts):
         self.counts = counts
-        self.memory = memory
-        self.seen: dict[str, tuple[tuple[str, str] | None, dict[str, tuple[float, bool]]]] = {}
 
     def _nested(self, token: str) -> tuple[str, str] | None:
         """Layers of UTF-8 read as a legacy encoding undone, if the garbling cost drops."""
-        text, layers, pieces = token, [], 0
+        text, layers = token, []
         for _ in range(MAX_LAYERS):
             best = None
             for (pattern, back), name in zip(_utf8_rules(), (*LEGACY, "latin_1")):
                 new, n = _undo_utf8(text, pattern, back)
                 if n and (best is None or (self.counts.cost(new), len(new)) < best[0]):
-                    best = ((self.counts.cost(new), len(new)), new, name, n)
+                    best = ((self.counts.cost(new), len(new)), new, name)
             if best is None:
                 break
-            text, layers, pieces = best[1], [*layers, f"{best[2]}>utf-8"], max(pieces, best[3])
-        # each well-formed sequence is itself a garbling charge of the stored token
-        if layers and self.counts.cost(text) < self.counts.cost(token) + SEQUENCE * pieces:
+            text, layers = best[1], [*layers, f"{best[2]}>utf-8"]
+        if layers and self.counts.cost(text) < self.counts.cost(token):
             return text, "+".join(layers)
         return None
 
-    def _pairs(self, token: str) -> dict[str, tuple[float, bool]]:
-        """By cause, how far the cost of the token drops if that is undone, and whether the corpus has its words."""
+    def _pairs(self, token: str) -> dict[str, tuple[float, bool, float]]:
+        """By cause, how far the cost of the token drops if that is undone, whether the corpus has its words, and the drop by rows."""
         plain = canonical.plain_marks(token)
+        letters, counts = set(plain), self.counts
+        before = (counts.cost(plain), counts.cost(plain, counts.contexts_of))
         out = {}
         for wrong, right, moves in _pair_tables():
             new = plain.translate(moves)
-            if new == plain or any("\x80" <= c <= "\x9f" for c in new):
+            if new == plain or any("\x80" <= c <= "\x9f" for c in set(new)):
                 continue
-            if any(ord(c) in moves and c.isalpha() and not moves[ord(c)].isalpha() for c in plain):
-                drop, known = self.counts.typography(plain, new)
-                out[f"{wrong}>{right}"] = (drop if drop > 0 else min(0.0, self.counts.drop(plain, new)), known)
+            rows = before[0] - counts.cost(new)
+            drop = max(rows, before[1] - counts.cost(new, counts.contexts_of))
+            if any(ord(c) in moves and c.isalpha() and not moves[ord(c)].isalpha() for c in letters):
+                at_marks, known = counts.typography(plain, new)
+                out[f"{wrong}>{right}"] = (at_marks if at_marks > 0 else min(0.0, drop), known, rows)
             else:
-                out[f"{wrong}>{right}"] = (self.counts.drop(plain, new), self.counts.all_known(new))
+                out[f"{wrong}>{right}"] = (drop, counts.all_known(new), rows)
         return out
 
-    def _token(self, token: str) -> tuple[tuple[str, str] | None, dict[str, tuple[float, bool]]]:
-        """The repaired token and how, or None where it is kept; and the evidence by cause."""
-        if (found := self._nested(token)) or "\ufffd" in token:
-            return found, {}
+    def evidence(self, token: str) -> Evidence:
+        found = self._nested(token)
+        if found or "\ufffd" in token:
+            return Evidence(*(found or (None, None)), {})
         pairs = self._pairs(token)
-        best = max(((drop, cause) for cause, (drop, known) in pairs.items() if known and drop > math.log(RATIO)), key=lambda x: x[0], default=None)
-        return (token.translate(_moves()[best[1]]), best[1]) if best else None, pairs
-
-    def evidence(self, token: str) -> tuple[tuple[str, str] | None, dict[str, tuple[float, bool]]]:
-        if token in self.seen:
-            return self.seen[token]
-        out = self._token(token)
-        if len(self.seen) < self.memory:
-            self.seen[token] = out
-        return out
+        best = max(((drop, cause) for cause, (drop, known, _) in pairs.items() if known and drop > math.log(RATIO)), key=lambda x: x[0], default=None)
+        return Evidence(token.translate(_moves()[best[1]]), best[1], pairs) if best else Evidence(None, None, pairs)
 
-    def token(self, token: str) -> tuple[str, str] | None:
-        return self.evidence(token)[0]
-
-    def _together(self, tokens: set[str]) -> str | None:
-        """The cause under which the distinct tokens of a text together drop enough; tokens that rise speak against it."""
-        every = [self.evidence(t)[1] for t in tokens]
-        if not any(known and drop > 0 for pairs in every for drop, known in pairs.values()):
-            return None
-        total: dict[str, float] = {}
-        for pairs in every:
-            for cause, (drop, known) in pairs.items():
-                if known or drop < 0:
-                    total[cause] = total.get(cause, 0.0) + drop
-        best = max(sorted(total), key=total.get)
-        return best if total[best] > math.log(RATIO) else None
-
-    def repair(self, text: str | None) -> tuple[str | None, list[str], int]:
-        """The repaired text, the layers undone, and how many tokens were garbled (lost characters included)."""
-        if not text or text.isascii():
-            return text, [], 0
-        spans = [(m.start(), m.end(), m.group(), self.token(m.group())) for m in _TOKEN.finditer(text)]
-        how: dict[str, int] = {}
-        for *_, fixed in spans:
-            if fixed:
-                how[fixed[1]] = how.get(fixed[1], 0) + 1
-        lost = sum("\ufffd" in t for _, _, t, fixed in spans if not fixed)
-        # a passage decoded wrongly has one cause: it also explains tokens without evidence of their own
-        cause = max(sorted(how), key=how.get) if how else self._together({t for _, _, t, _ in spans})
-        if cause is None:
-            return text, [], lost
-        moves = _moves().get(cause)
-        out, at, more = [], 0, 0
-        for start, end, token, fixed in spans:
-            if fixed is None and moves is not None:
-                new = token.translate(moves)
-                if new != token and all(_expected(c) or c.isascii() for c in new) and (self.evidence(token)[1].get(cause, (0.0, False))[0] > 0 or self.counts.cost(new) < self.counts.cost(token)):
-                    fixed = (new, cause)
-                    more += 1
-            if fixed:
-                out += [text[at:start], fixed[0]]
-                at = end
-        out.append(text[at:])
-        if not how and not more:
-            return text, [], lost
-        return "".join(out), sorted(how) or [cause], (sum(how.values()) or more) + lost
+
+def tokens_of(text: str | None) -> list[str]:
+    """The tokens of a text that are not ASCII."""
+    return [] if not text or text.isascii() else _TOKEN.findall(text)
+
+
+def _together(evidence: list[Evidence]) -> str | None:
+    """The cause under which the distinct tokens of a text together drop enough; tokens that rise speak against it."""
+    if not any(e.suspicious for e in evidence):
+        return None
+    total: dict[str, float] = {}
+    for e in evidence:
+        for cause, (drop, known, _) in e.causes.items():
+            if known or drop < 0:
+                total[cause] = total.get(cause, 0.0) + drop
+    best = max(sorted(total), key=total.get)
+    return best if total[best] > math.log(RATIO) else None
+
+
+def repair(text: str | None, evidence: Callable[[str], Evidence]) -> tuple[str | None, list[str], int]:
+    """The repaired text, the layers undone, and how many tokens were garbled (lost characters included)."""
+    if not text or text.isascii():
+        return text, [], 0
+    spans = [(m.start(), m.end(), m.group(), evidence(m.group())) for m in _TOKEN.finditer(text)]
+    how: dict[str, int] = {}
+    for *_, e in spans:
+        if e.fixed is not None:
+            how[e.how] = how.get(e.how, 0) + 1
+    lost = sum("\ufffd" in t for _, _, t, e in spans if e.fixed is None)
+    # a passage decoded wrongly has one cause: it also explains tokens without evidence of their own
+    cause = max(sorted(how), key=how.get) if how else _together(list({t: e for _, _, t, e in spans}.values()))
+    if cause is None:
+        return text, [], lost
+    moves = _moves().get(cause)
+    out, at, more = [], 0, 0
+    for start, end, token, e in spans:
+        fixed = e.fixed
+        if fixed is None and moves is not None:
+            new = token.translate(moves)
+            drop, _, rows = e.causes.get(cause, (0.0, False, 0.0))
+            if new != token and all(_expected(c) or c.isascii() for c in set(new)) and (drop > 0 or rows > 0):
+                fixed = new
+                more += 1
+        if fixed is not None:
+            out += [text[at:start], fixed]
+            at = end
+    out.append(text[at:])
+    if not how and not more:
+        return text, [], lost
+    return "".join(out), sorted(how) or [cause], (sum(how.values()) or more) + lost

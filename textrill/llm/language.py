@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +56,9 @@ _WORDS = re.compile(r"[^\W\d_]+")
 # a sentence ends at . ! ? before a blank, or at a line break
 _ENDS = re.compile(r"(?<=[^\W\d_][.!?])[\"”»)]?\s+|(?<=\d[.!?])\s+(?=[^\W\d_])|(?<=[.!?][\"”»)])\s+|\n+")
 _CLOSED = re.compile(r"[.!?][\"”»)]?\s*\Z")
-# pieces that are no words of a sentence: quoted titles, addresses, codes
-_QUOTED = re.compile(r"«[^«»\n]{1,60}»|\S*(?:@|\(at\)|\[at\]|\(arroba\))\S*|\S*\d\S*")
+# pieces that are no words of a sentence: quoted titles, addresses, codes; looked for at token starts only
+_QUOTED = re.compile(r"«[^«»\n]{1,60}»")
+_CODE = re.compile(r"(?<!\S)[^\s\d@(\[]*+(?:[(\[](?!at[)\]]|arroba\))[^\s\d@(\[]*+)*+[\d@(\[]\S*+")
 
 
 def label_code(value: Column) -> Column:
@@ -69,6 +71,11 @@ def label_code(value: Column) -> Column:
 def grams(word: str) -> np.ndarray:
     """Buckets of the character n-grams of one lower-case word."""
     w = f"_{word}_"
+    if len(w) > 256:  # long runs of letters repeat their n-grams: hash each once
+        counts = Counter("".join(x) for n in ORDERS for x in zip(*(w[j:] for j in range(n))))
+        del counts["_"]
+        at = [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for x in counts]
+        return np.repeat(np.array(at, np.int32), list(counts.values()))
     return np.array([zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for n in ORDERS for i in range(len(w) - n + 1) if w[i : i + n] != "_"], np.int32)
 
 
@@ -84,6 +91,13 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _spoken(sentence: str) -> list[str]:
+    """The words of a sentence in lower case, without those of quoted titles, addresses and codes."""
+    if "«" in sentence:
+        sentence = _QUOTED.sub(" ", sentence)
+    return _WORDS.findall(_CODE.sub(" ", sentence).lower())
+
+
 def document_frequency(docs: DataFrame, column: str) -> tuple[np.ndarray, int]:
     """In how many rows each bucket occurs, over all rows. The result has BUCKETS numbers."""
 
@@ -231,7 +245,7 @@ def surest_passages(model: Model, text: str | None) -> list[tuple[int, int, str,
     out: list[list] = []
     start = None
     for a, b in sentences(text):
-        words = _WORDS.findall(_QUOTED.sub(" ", text[a:b]).lower())
+        words = _spoken(text[a:b])
         p = model.probabilities(words) if len(words) >= MIN_WORDS or (len(words) >= SHORT_WORDS and _CLOSED.search(text, a, b)) else None
         if p is None or (len(words) < MIN_WORDS and p.max() < SURE_SHORT):
             if out:

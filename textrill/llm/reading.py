@@ -48,7 +48,7 @@ MAX_GRADED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"[^\W_]+")
 # pieces that are no words of a sentence: paths, codes, numbers
-_NOISE = re.compile(r"\S*[\d/_@\\]\S*")
+_NOISE = re.compile(r"(?<!\S)[^\s\d/_@\\]*+[\d/_@\\]\S*+")
 _ENDS = re.compile(r"(?<=[.!?…])[\"”»)]?\s+|\n+")
 
 
