@@ -198,9 +198,13 @@ class WordCounts:
             return 0.0, False
         return best, evidence
 
-    def cost(self, text: str, of=None) -> float:
-        """Garbling cost of a token: minus log counts of its non-ASCII words, plus charges for misplaced characters and UTF-8 sequences."""
-        total, of = SEQUENCE * sequences(text), of or self.of
+    def cost(self, text: str) -> float:
+        """Garbling cost of a token: that of its words and characters, plus a charge for each UTF-8 sequence in it."""
+        return self.word_cost(text) + SEQUENCE * sequences(text)
+
+    def word_cost(self, text: str, of=None) -> float:
+        """Minus log counts of the non-ASCII words of a token, plus a charge for misplaced characters."""
+        total, of = 0.0, of or self.of
         for w in _LETTERS.findall(text):
             if w.isascii():
                 continue
@@ -295,8 +299,10 @@ class Judge:
             best = None
             for (pattern, back), name in zip(_utf8_rules(), (*LEGACY, "latin_1")):
                 new, n = _undo_utf8(text, pattern, back)
-                if n and (best is None or (self.counts.cost(new), len(new)) < best[0]):
-                    best = ((self.counts.cost(new), len(new)), new, name)
+                if n:
+                    rank = (self.counts.cost(new), len(new))
+                    if best is None or rank < best[0]:
+                        best = (rank, new, name)
             if best is None:
                 break
             text, layers = best[1], [*layers, f"{best[2]}>utf-8"]
@@ -308,14 +314,14 @@ class Judge:
         """By cause, how far the cost of the token drops if that is undone, whether the corpus has its words, and the drop by rows."""
         plain = canonical.plain_marks(token)
         letters, counts = set(plain), self.counts
-        before = (counts.cost(plain), counts.cost(plain, counts.contexts_of))
+        before = (counts.word_cost(plain), counts.word_cost(plain, counts.contexts_of))
         out = {}
         for wrong, right, moves in _pair_tables():
             new = plain.translate(moves)
             if new == plain or any("\x80" <= c <= "\x9f" for c in set(new)):
                 continue
-            rows = before[0] - counts.cost(new)
-            drop = max(rows, before[1] - counts.cost(new, counts.contexts_of))
+            rows = before[0] - counts.word_cost(new)
+            drop = max(rows, before[1] - counts.word_cost(new, counts.contexts_of))
             if any(ord(c) in moves and c.isalpha() and not moves[ord(c)].isalpha() for c in letters):
                 at_marks, known = counts.typography(plain, new)
                 out[f"{wrong}>{right}"] = (at_marks if at_marks > 0 else min(0.0, drop), known, rows)
