@@ -8,6 +8,8 @@ from textrill.errors import UnsupportedEngine
 
 DEFAULT_BYTES = 2_097_152
 PROFILES = ("fts5", "tsquery", "boolean")
+#: What one tsquery vector holds.
+VECTOR_BYTES = 1_048_575
 #: Languages on offer. "simple" cuts words without stemming; no other is built in.
 LANGUAGES = ("simple",)
 
@@ -22,14 +24,20 @@ class Config:
     language: str = "simple"
     content_bytes: int = DEFAULT_BYTES
     profile: str = "fts5"
+    #: Most bytes of distinct words a document may bring into the index; more text is halved. None for no limit.
+    ceiling_bytes: int | None = None
+    #: Settings as they were stored: an unknown profile is told by the health card and refused by searches.
+    lenient: bool = False
 
     def __post_init__(self):
         # a stored value that no longer holds falls back instead of breaking every search
         if self.language not in LANGUAGES:
             object.__setattr__(self, "language", "simple")
         object.__setattr__(self, "content_bytes", max(1, int(self.content_bytes)))
-        if self.profile not in PROFILES:
+        if self.profile not in PROFILES and not self.lenient:
             raise UnsupportedEngine(self.profile)
+        if self.ceiling_bytes is None and self.profile == "tsquery":
+            object.__setattr__(self, "ceiling_bytes", VECTOR_BYTES)
 
     def with_language(self, language: str) -> Config:
         if language not in LANGUAGES:

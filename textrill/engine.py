@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrill import runtime
-from textrill.config import Config, offered
+from textrill.config import PROFILES, Config, offered
 from textrill.errors import UnsupportedEngine
-from textrill.extract.common import TIME_CAP
+from textrill.extract.common import ENGINE_CEILING, TIME_CAP
 from textrill.operators import access as A
-from textrill.operators import index, match, ops, search
-from textrill.plans.query import Request, compile_query
+from textrill.operators import cover, match, ops, search
+from textrill.plans.query import Compiled, Request, compile_query
 from textrill.sources.documents import with_content
 from textrill.sources.store import Store
 
@@ -45,49 +45,57 @@ class SearchEngine:
 
         Input columns: provider_id, document_id, title, content, content_encoded, owner, users, groups,
         circles, tags, link, source, hash, modified, and op if there are deletes. Of several versions of
-        a document in one call the last by (modified, and then received order where given) is taken. A
-        document without any access token is refused and its stored row kept.
+        a document in one call the last is taken, by what there is of received_at, change_id and modified,
+        in this order; versions that tie in all of them are told apart by title, content and hash. A document
+        without any access token is refused and its stored row kept.
+
+        Ids are new ones in every call and follow the order of (provider_id, document_id).
         """
         rows = documents if "op" in documents.columns else documents.withColumn("op", F.lit("index"))
         order = [c for c in ("received_at", "change_id", "modified") if c in rows.columns]
-        rows = ops.last_wins(rows, order) if order else rows
-        rows = ops.mapped(rows)
-        done = runtime.materialize(with_content(rows, self.config.content_bytes, self.seconds), "indexed")
-        stored, can, tagged = (self.store.read(t) for t in ("documents", "access", "tags"))
-        first = self.store.next_id()
-        numbered = done.filter("op = 'index' AND NOT refused")
-        # ids follow the write order; ties in a search are settled by them
-        spread = F.row_number().over(Window.orderBy(*ops.KEY)).cast("long") if numbered.count() < 1_000_000 else F.monotonically_increasing_id() + 1
-        fresh = runtime.materialize(numbered.withColumn("id", spread + F.lit(first - 1)), "fresh")
+        rows = ops.last_wins(rows, [*order, *[c for c in ("title", "content", "hash") if c in rows.columns]])
+        rows = with_content(ops.mapped(rows), self.config.content_bytes, self.seconds)
+        if self.config.ceiling_bytes:
+            rows = ops.engine_ceiling(rows, "text", self.config.ceiling_bytes)
+            rows = rows.withColumn("cause", F.when(F.col("ceiling") & F.col("cause").isNull(), ENGINE_CEILING).otherwise(F.col("cause"))).drop("ceiling")
+        # sorted slices with their numbers, so that ids follow the key at any size and no task sees all rows
+        slices = rows.repartitionByRange(*ops.KEY).sortWithinPartitions(*ops.KEY)
+        done = runtime.materialize(slices.withColumn("_slice", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "indexed")
+        first, starts = self.store.next_id(), []
+        for r in done.groupBy("_slice").count().orderBy("_slice").collect():  # a row a slice
+            starts += [F.lit(r["_slice"]), F.lit(first)]
+            first += r["count"]
+        numbered = done.withColumn("id", F.col("_at") + F.try_element_at(F.create_map(*starts), F.col("_slice"))) if starts else done.withColumn("id", F.col("_at"))
+        fresh = numbered.filter("op = 'index' AND NOT refused")
         gone = done.filter("NOT refused").select(*ops.KEY)
-        keep = stored.join(gone, ops.KEY, "left_anti")
-        new_docs = fresh.select("id", *ops.KEY, "owner", "title", F.coalesce("text", F.lit("")).alias("content"), "link", "source", "modified", "hash", F.col("cause").alias("extraction_cause"))
-        left = keep.select(F.col("id").alias("doc_id"))
-        self.store.commit(
+        dead = self.store.read("documents").select("id", *ops.KEY).join(gone, ops.KEY, "left_semi").select(F.col("id").alias("doc_id"))
+        self.store.apply(
             {
-                "documents": keep.unionByName(new_docs),
-                "access": can.join(left, "doc_id", "left_semi").unionByName(fresh.select(F.col("id").alias("doc_id"), F.explode("tokens").alias("token"))),
-                "tags": tagged.join(left, "doc_id", "left_semi").unionByName(fresh.select(F.col("id").alias("doc_id"), F.explode("tag_rows").alias("t")).select("doc_id", "t.kind", "t.value")),
-            }
+                "documents": fresh.select("id", *ops.KEY, "owner", "title", F.coalesce("text", F.lit("")).alias("content"), "link", "source", "modified", "hash", F.col("cause").alias("extraction_cause")),
+                "access": fresh.select(F.col("id").alias("doc_id"), F.explode("tokens").alias("token")),
+                "tags": fresh.select(F.col("id").alias("doc_id"), F.explode("tag_rows").alias("t")).select("doc_id", "t.kind", "t.value"),
+            },
+            dead,
+            first,
         )
         status = F.when(F.col("op") == "delete", "removed").when(F.col("refused"), "failed").otherwise("done")
         return done.select(*ops.KEY, status.alias("status"), "extracted", "cause", F.when(F.col("refused"), "no access token").otherwise(F.col("message")).alias("message"), F.when(F.col("refused"), 3).otherwise(F.col("severity")).alias("severity"))
 
-    def _keep(self, docs: DataFrame) -> None:
-        left = docs.select(F.col("id").alias("doc_id"))
-        self.store.commit({"documents": docs, "access": self.store.read("access").join(left, "doc_id", "left_semi"), "tags": self.store.read("tags").join(left, "doc_id", "left_semi")})
+    def _remove(self, docs: DataFrame) -> None:
+        self.store.apply(None, docs.select(F.col("id").alias("doc_id")))
 
     def delete(self, provider: str, document: str) -> None:
-        self._keep(ops.delete_document(self.store.read("documents"), provider, document))
+        self._remove(self.store.read("documents").filter((F.col("provider_id") == provider) & (F.col("document_id") == document)))
 
     def delete_list(self, keys: DataFrame) -> DataFrame:
-        left, outcome = ops.delete_list(self.store.read("documents"), keys)
-        outcome = runtime.materialize(outcome, "outcome")
-        self._keep(left)
+        stored = self.store.read("documents")
+        outcome = runtime.materialize(ops.delete_list(stored, keys)[1], "outcome")
+        self._remove(stored.join(outcome.filter("deleted").select(*ops.KEY), ops.KEY, "left_semi"))
         return outcome
 
     def reset(self, provider: str = "all") -> None:
-        self._keep(ops.reset(self.store.read("documents"), provider))
+        stored = self.store.read("documents")
+        self._remove(stored if provider == "all" else stored.filter(F.col("provider_id") == provider))
 
     def rebuild(self) -> None:
         self.store.rebuild()
@@ -95,15 +103,23 @@ class SearchEngine:
     # searching
 
     def _found(self, request: Request, tokens: list[str]) -> DataFrame:
+        self._supported()
         request = request.checked()
         for name in request.widening:
             log.debug("search option not offered, skipped: %s", name)
         query = compile_query(request.search, self.config.profile)
-        # under tsquery a phrase may run from title into content, which only the texts tell
-        from_texts = query.browse or (query.profile == "tsquery" and any(len(u.words) > 1 for u in query.units))
-        hits = None if from_texts else match.index_hits(self.store.read("postings"), self.store.read("doc_stats"), query)
+        hits = None if query.browse else self._hits(query)
         return search.base(self.store.read("documents"), self.store.read("access"), self.store.read("tags"), request, tokens, query, hits)
 
+    def _hits(self, query: Compiled) -> DataFrame:
+        """The matching documents with the rank of the profile, from the stored index: cover density under tsquery."""
+        post, stats = self.store.read("postings"), self.store.read("doc_stats")
+        return cover.cover_hits(post, stats, query) if query.profile == "tsquery" else match.index_hits(post, stats, query)
+
+    def _supported(self) -> None:
+        if self.config.profile not in PROFILES:
+            raise UnsupportedEngine(self.config.profile)
+
     def search(self, request: Request, viewer: str = "", groups=(), circles=()) -> tuple[DataFrame, DataFrame]:
         """(page with titles and excerpts, one-row total) of a request, as the viewer may see it."""
         found = self._found(request, A.viewer_tokens(viewer=viewer, groups=groups, circles=circles))
@@ -114,12 +130,17 @@ class SearchEngine:
     def get_document(self, provider: str, document: str) -> DataFrame:
         return ops.get_document(self.store.read("documents"), self.store.read("access"), provider, document)
 
+    def ensure(self) -> list[str]:
+        """Creates the store if there is none; the warnings of what could not be done."""
+        return self.store.ensure()
+
     def probe(self) -> bool:
         """Whether a search runs; a missing or broken index says no instead of raising."""
         try:
+            self._supported()
             if not self.store.exists():
                 return False
-            match.index_hits(self.store.read("postings"), self.store.read("doc_stats"), compile_query(PROBE, self.config.profile)).limit(1).collect()
+            self._hits(compile_query(PROBE, self.config.profile)).limit(1).collect()
             return True
         except Exception:  # noqa: BLE001 - the answer is no
             return False
@@ -132,17 +153,17 @@ class SearchEngine:
         return self.store.read("documents").join(self.store.read("doc_stats").select(F.col("doc_id").alias("id")), "id", "left_anti")
 
     def health(self) -> dict:
-        try:
-            Config(profile=self.config.profile)
-            state = "missing" if not self.probe() else "ready" if self.stale().limit(1).isEmpty() else "stale"
-        except UnsupportedEngine:
+        """The health card. State: the first that applies of engine (no such profile), missing, unusable (a search fails), stale, ready."""
+        if self.config.profile not in PROFILES:
             state = "engine"
+        elif not self.store.exists():
+            state = "missing"
+        elif not self.probe():
+            state = "unusable"
+        else:
+            state = "ready" if self.stale().limit(1).isEmpty() else "stale"
         try:
             counts = {r["extraction_cause"]: r["n"] for r in self.causes().collect()}
         except Exception:  # noqa: BLE001 - counts never break the card
             counts = {}
         return {"state": state, "language": self.config.language, "languages": self.languages(), "content_bytes": self.config.content_bytes, "causes": counts}
-
-
-def ready(spark: SparkSession, folder: str) -> bool:
-    return index.ensure(spark, folder)

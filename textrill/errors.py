@@ -15,3 +15,7 @@ class UnsupportedCapability(ValueError):
 
 class UnsupportedEngine(ValueError):
     """There is no ranking profile of this name."""
+
+
+class StoreConflict(RuntimeError):
+    """Another writer committed while this one was at work; nothing was changed."""

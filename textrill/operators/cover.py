@@ -3,37 +3,21 @@
 A cover is a shortest stretch of a document that satisfies the query. Each adds
 the harmonic mean of its words' weights (title 1.0, content 0.4), divided by one
 more than the words in it that are no part of the query. Only matching documents
-are ranked, over the places of the query's words, which the JVM finds.
+are ranked, over the places of the query's words, which come from the postings.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrill.functions.text import tokens
-from textrill.operators.match import accepts, counted
-from textrill.plans.query import MUST, MUST_NOT, SHOULD, Compiled, Unit
+from textrill.operators.match import accepts, index_hits, unit_counts
+from textrill.plans.query import MUST, MUST_NOT, SHOULD, Compiled
 
 TITLE_WEIGHT, CONTENT_WEIGHT = 1.0, 0.4
 
 
-def _places(words: Column, unit: Unit) -> Column:
-    """Where a unit's words stand, phrases only where they stand in succession."""
-    k = len(unit.words)
-
-    def starts(i: Column) -> Column:
-        same = [F.get(words, i + j) == w for j, w in enumerate(unit.words[:-1])]
-        last = F.get(words, i + (k - 1))
-        return reduce(lambda a, b: a & b, [*same, last.startswith(unit.words[-1]) if unit.prefix else last == unit.words[-1]])
-
-    every = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, starts)
-
-
 def satisfied(present: set[int], query: Compiled) -> bool:
     should = [i for i, u in enumerate(query.units) if u.occur == SHOULD]
     must = [i for i, u in enumerate(query.units) if u.occur == MUST]
@@ -69,17 +53,16 @@ def density(hits: list[tuple[int, int, float]], query: Compiled) -> float:
     return total
 
 
-def cover_hits(docs: DataFrame, query: Compiled, title: str = "title", content: str = "content", id: str = "id") -> DataFrame:
-    """(id, score) of the matching documents by cover density; queries of exclusions only score 0."""
-    if query.browse or not query.units:
-        return docs.select(F.col(id).alias("id"), F.lit(0.0).alias("score")).filter(F.lit(query.browse))
-    rows = counted(docs, query, title, content, id)
-    matched = rows.filter(accepts(query, {i: F.col(f"tf_{i}") for i in range(len(query.units))})).select("id")
+def cover_hits(post: DataFrame, stats: DataFrame, query: Compiled) -> DataFrame:
+    """(id, score) of the matching documents by cover density, from stored postings; queries of exclusions only score 0."""
+    if query.browse or not any(u.words for u in query.units):
+        return stats.select(F.col("doc_id").alias("id"), F.lit(0.0).alias("score")).filter(F.lit(query.browse))
     ranked = [(i, u) for i, u in enumerate(query.units) if u.occur != MUST_NOT and u.words]
     if not ranked:
-        return matched.select("id", F.lit(0.0).alias("score"))
-    words = docs.select(F.col(id).alias("id"), tokens(title).alias("_t"), tokens(content).alias("_c")).join(matched, "id", "left_semi").withColumn("_w", F.concat("_t", "_c"))
-    placed = words.select("id", F.size("_t").alias("n"), F.array(*[_places(F.col("_w"), u) for _, u in ranked]).alias("places"))
+        return index_hits(post, stats, query)
+    rows = unit_counts(post, query, places=True)
+    matched = rows.filter(accepts(query, {i: F.col(f"tf_{i}") for i in range(len(query.units))}))
+    placed = matched.select("id", "title_len", F.array(*[F.col(f"places_{i}") for i, _ in ranked]).alias("places"))
 
     def rank(batches):
         for batch in batches:

@@ -1,7 +1,9 @@
 """The inverted index: postings with positions, document lengths, corpus figures.
 
-Postings are sorted by term when they are stored, so that row groups are pruned
-by the term filter; texts are not repeated in them.
+Postings are ordered by term and document when they are stored, so that row groups
+are pruned by the term filter and the postings of one term fill as many files as
+they need; texts are not repeated in them. Each posting carries the length of its
+document, so ranking joins nothing.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ TITLE, CONTENT = 0, 1
 
 
 def postings(docs: DataFrame, title: str = "title", content: str = "content", id: str = "id") -> DataFrame:
-    """(term, doc_id, field, tf, positions) of all documents; fields without words have none.
+    """(term, doc_id, field, tf, positions, len, title_len) of all documents; fields without words have none.
 
-    Grouped by document first, so the only shuffle is that of counted terms.
+    Counted inside the row: the words of a field are sorted with their positions and cut
+    where the word changes, so nothing is shuffled, and a long text costs one sort.
     """
-    fields = F.array(
-        F.struct(F.lit(TITLE).alias("field"), tokens(title).alias("words")),
-        F.struct(F.lit(CONTENT).alias("field"), tokens(content).alias("words")),
-    )
-    cut = spread(docs.select(id, title, content)).select(F.col(id).alias("doc_id"), F.explode(fields).alias("f")).select("doc_id", F.col("f.field").alias("field"), F.posexplode("f.words").alias("pos", "term"))
-    return cut.groupBy("term", "doc_id", "field").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    cut = spread(docs.select(id, title, content)).select(F.col(id).alias("doc_id"), F.inline(F.array(F.struct(tokens(title).alias("_t"), tokens(content).alias("_c")))))
+    lengths = cut.select("doc_id", (F.size("_t") + F.size("_c")).alias("len"), F.size("_t").alias("title_len"), F.posexplode(F.array("_t", "_c")).alias("field", "words"))
+    placed = lengths.filter(F.size("words") > 0).withColumn("s", F.array_sort(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))))
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
+    runs = placed.select("doc_id", "field", "len", "title_len", "s", F.inline(F.array(F.struct(starts.alias("starts"), F.transform("s", lambda x: x["pos"]).alias("pos")))))
+    grouped = F.transform("starts", lambda p, j: F.struct(F.get("s", p)["term"].alias("term"), F.slice("pos", p + 1, F.coalesce(F.get("starts", j + 1), F.size("s")) - p).alias("positions")))
+    return runs.select("doc_id", "field", "len", "title_len", F.inline(grouped)).select("term", "doc_id", "field", F.size("positions").alias("tf"), "positions", "len", "title_len")
 
 
 def doc_stats(docs: DataFrame, title: str = "title", content: str = "content", id: str = "id") -> DataFrame:
@@ -50,14 +54,16 @@ def stale(docs: DataFrame, title_norm: str = "title_norm", content_norm: str = "
 
 
 def write(docs: DataFrame, folder: str, title: str = "title", content: str = "content", id: str = "id") -> None:
-    """Stores postings (range-partitioned and sorted by term) and document lengths."""
-    postings(docs, title, content, id).repartitionByRange("term").sortWithinPartitions("term", "doc_id", "field").write.mode("overwrite").parquet(f"{folder}/postings")
+    """Stores postings (range-partitioned and sorted by term and document), document lengths and corpus figures."""
+    spark = docs.sparkSession
+    postings(docs, title, content, id).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "field").write.mode("overwrite").parquet(f"{folder}/postings")
     doc_stats(docs, title, content, id).write.mode("overwrite").parquet(f"{folder}/doc_stats")
+    corpus_stats(spark.read.schema("doc_id long, len int").parquet(f"{folder}/doc_stats")).write.mode("overwrite").parquet(f"{folder}/corpus")
 
 
 def ensure(spark, folder: str) -> bool:
     """Whether the stored index exists; never raises."""
     try:
-        return spark.read.parquet(f"{folder}/postings").columns == ["term", "doc_id", "field", "tf", "positions"] and bool(spark.read.parquet(f"{folder}/doc_stats").columns)
+        return spark.read.parquet(f"{folder}/postings").columns == ["term", "doc_id", "field", "tf", "positions", "len", "title_len"] and bool(spark.read.parquet(f"{folder}/doc_stats").columns)
     except Exception:  # noqa: BLE001 - a missing index is an answer, not a failure
         return False

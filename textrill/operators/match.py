@@ -143,45 +143,62 @@ def scan_hits(docs: DataFrame, query: Compiled, title: str = "title", content: s
     return hits.select("id", score(query, figures[0], figures[1], [x or 0 for x in figures[2:]]).alias("score"))
 
 
-def index_hits(post: DataFrame, stats: DataFrame, query: Compiled) -> DataFrame:
-    """(id, score) of the matching documents, read from stored postings of the query's terms."""
-    query = _unit_filter(query)
-    if query.browse:
-        return stats.select(F.col("doc_id").alias("id"), F.lit(0.0).alias("score"))
-    units = [(i, u) for i, u in enumerate(query.units) if u.words]
-    none = stats.select(F.col("doc_id").alias("id"), F.lit(0.0).alias("score")).filter(F.lit(False))
-    if not units:
-        return none
-    found = None
-    for i, u in units:
-        tf = _unit_postings(post, u, query.profile == "tsquery").select("doc_id", F.lit(i).alias("unit"), "tf")
-        found = tf if found is None else found.unionAll(tf)
-    per = found.groupBy("doc_id").agg(*[F.sum(F.when(F.col("unit") == i, F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, _ in units])
-    # a query of exclusions only needs the documents without any of them too
-    per = stats.join(per, "doc_id", "left" if not any(u.occur != MUST_NOT for _, u in units) else "inner").fillna(0)
-    per = per.withColumn("id", F.col("doc_id"))
+def _back(k: int):
+    return lambda x: x - k
+
+
+def unit_counts(post: DataFrame, query: Compiled, places: bool = False) -> DataFrame:
+    """(id, len, title_len, tf_0, tf_1, ...) of the documents that hold a word of the query; one scan, one exchange.
+
+    Positions are those in title and content together; under tsquery a phrase may run from one
+    into the other, otherwise a gap between them keeps phrases within a field. With ``places``
+    there is also places_i, where each unit stands.
+    """
+    gap = 0 if query.profile == "tsquery" else 1
+    at = F.transform("positions", lambda x: x + F.when(F.col("field") == TITLE, 0).otherwise(F.col("title_len") + gap))
+    exact, begun, columns = set(), set(), []
+
+    def is_word(u: Unit, k: int) -> Column:
+        last = u.prefix and k == len(u.words) - 1
+        (begun if last else exact).add(u.words[k])
+        return F.col("term").startswith(u.words[k]) if last else F.col("term") == u.words[k]
+
+    for i, u in enumerate(query.units):
+        for k in range(len(u.words)):
+            if len(u.words) > 1 or places:
+                columns.append(F.flatten(F.collect_list(F.when(is_word(u, k), at))).alias(f"p_{i}_{k}"))
+            else:
+                columns.append(F.sum(F.when(is_word(u, k), F.col("tf")).otherwise(0)).cast("int").alias(f"tf_{i}"))
+    wanted = [F.col("term").isin(sorted(exact))] if exact else []
+    wanted += [F.col("term").startswith(w) for w in sorted(begun)]
+    rows = post.filter(reduce(lambda a, b: a | b, wanted))
+    per = rows.groupBy("doc_id").agg(F.max("len").alias("_len"), F.max("title_len").alias("_title_len"), *columns)
     for i, u in enumerate(query.units):
         if not u.words:
-            per = per.withColumn(f"tf_{i}", F.lit(0))
-    n_docs, avg_len = stats.agg(F.count("*"), F.avg("len")).first()
-    n = {r["unit"]: r["n"] for r in found.groupBy("unit").agg(F.countDistinct("doc_id").alias("n")).collect()}  # a row a unit, 64 at most
-    hits = per.filter(accepts(query, {i: F.col(f"tf_{i}") for i in range(len(query.units))}))
-    return hits.select("id", score(query, n_docs, avg_len, [n.get(i, 0) for i in range(len(query.units))]).alias("score"))
-
+            per = per.withColumn(f"tf_{i}", F.lit(0)).withColumn(f"places_{i}", F.array().cast("array<int>"))
+        elif len(u.words) > 1 or places:
+            starts = [F.transform(f"p_{i}_{k}", _back(k)) for k in range(len(u.words))]
+            per = per.withColumn(f"places_{i}", reduce(F.array_intersect, starts)).withColumn(f"tf_{i}", F.size(f"places_{i}"))
+    return per.select(F.col("doc_id").alias("id"), F.col("_len").alias("len"), F.col("_title_len").alias("title_len"), *[f"tf_{i}" for i in range(len(query.units))], *([f"places_{i}" for i in range(len(query.units))] if places else []))
 
-def _unit_postings(post: DataFrame, unit: Unit, joined_fields: bool) -> DataFrame:
-    """(doc_id, tf) of one unit: the postings of its words, met at successive positions."""
-    last = post.filter(F.col("term").startswith(unit.words[-1]) if unit.prefix else F.col("term") == unit.words[-1])
-    if len(unit.words) == 1:
-        return last.groupBy("doc_id").agg(F.sum("tf").alias("tf"))
-    starts = None
-    for k, w in enumerate(unit.words):
-        rows = (last if k == len(unit.words) - 1 else post.filter(F.col("term") == w)).select("doc_id", "field", F.explode("positions").alias("pos"))
-        at = rows.select("doc_id", "field", (F.col("pos") - k).alias("start")).distinct()
-        starts = at if starts is None else starts.join(at, ["doc_id", "field", "start"], "left_semi")
-    return starts.groupBy("doc_id").agg(F.count("*").alias("tf"))
 
+def index_hits(post: DataFrame, stats: DataFrame, query: Compiled, corpus: DataFrame | None = None) -> DataFrame:
+    """(id, score) of the matching documents, read from stored postings of the query's terms.
 
-def title_weight(field: Column) -> Column:
-    """Weight class of a field: A for the title, B for the content."""
-    return F.when(field == TITLE, "A").otherwise("B")
+    ``corpus`` is the stored row of corpus figures; without it they are counted from ``stats``.
+    """
+    query = _unit_filter(query)
+    if query.browse:
+        return stats.select(F.col("doc_id").alias("id"), F.lit(0.0).alias("score"))
+    units = [u for u in query.units if u.words]
+    if not units:
+        return stats.select(F.col("doc_id").alias("id"), F.lit(0.0).alias("score")).filter(F.lit(False))
+    per = unit_counts(post, query)
+    n_docs, avg_len = (corpus if corpus is not None else stats.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))).select("n_docs", "avg_len").first() or (0, None)
+    # one row of figures, however many documents
+    n = per.agg(*[F.sum((F.col(f"tf_{i}") > 0).cast("long")) for i in range(len(query.units))]).first()
+    if all(u.occur == MUST_NOT for u in units):
+        # a query of exclusions only needs the documents without any of them too
+        per = stats.select(F.col("doc_id").alias("id")).join(per, "id", "left").fillna(0)
+    hits = per.filter(accepts(query, {i: F.col(f"tf_{i}") for i in range(len(query.units))}))
+    return hits.select("id", score(query, n_docs, avg_len, [x or 0 for x in n]).alias("score"))

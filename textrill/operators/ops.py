@@ -107,7 +107,8 @@ def engine_ceiling(docs: DataFrame, column: str, most_bytes: int, halvings: int
     out = docs.withColumn("_full", F.octet_length(column))
     for _ in range(halvings):
         size = F.aggregate(F.array_distinct(tokens(column)), F.lit(0), lambda a, x: a + F.octet_length(x) + 8)
-        out = out.withColumn("_size", size).withColumn("_half", F.floor(F.octet_length(column) / 2).cast("int"))
+        # a word costs its bytes and 8 more, so a text of under a fifth of the limit cannot pass it
+        out = out.withColumn("_size", F.when(F.octet_length(column) * 5 > most_bytes, size)).withColumn("_half", F.floor(F.octet_length(column) / 2).cast("int"))
         raw = F.encode(column, "UTF-8")
         cut = F.coalesce(*[F.try_validate_utf8(F.substring(raw, F.lit(1), F.col("_half") - k).cast("string")) for k in range(4)])
         out = out.withColumn(column, F.when(F.col("_size") > most_bytes, cut).otherwise(F.col(column)))

@@ -15,7 +15,7 @@ DOCUMENTS = _struct(
 )
 ACCESS = _struct(("doc_id", L, False), ("token", S, False))
 TAGS = _struct(("doc_id", L, False), ("kind", S, False), ("value", S, False))
-POSTINGS = _struct(("term", S, False), ("doc_id", L, False), ("field", I, False), ("tf", I, False), ("positions", T.ArrayType(I), False))
+POSTINGS = _struct(("term", S, False), ("doc_id", L, False), ("field", I, False), ("tf", I, False), ("positions", T.ArrayType(I), False), ("len", I, False), ("title_len", I, False))
 DOC_STATS = _struct(("doc_id", L, False), ("len", I, False))
 CHANGES = _struct(
     ("change_id", L, False), ("op", S, False), ("provider_id", S, False), ("document_id", S, False), ("title", S, True), ("owner", S, True),

@@ -10,17 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textrill.engine import SearchEngine
 from textrill.operators import ops
+from textrill.runtime import materialize
 
 
 def apply_to(engine: SearchEngine) -> Callable[[DataFrame, int], None]:
     def batch(changes: DataFrame, _epoch: int) -> None:
-        # the stream's rows are read several times
-        changes = changes.persist()
-        try:
-            if not changes.isEmpty():
-                engine.index(changes)
-        finally:
-            changes.unpersist()
+        # the stream's rows are read several times; a durable copy survives a lost executor
+        changes = materialize(changes, "micro-batch")
+        if not changes.isEmpty():
+            engine.index(changes)
 
     return batch
 
