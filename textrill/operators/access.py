@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from textrill.errors import AccessIsEmpty
 
+#: From so many documents on a token's documents are kept as bitmaps.
+DENSE = 2_048
 KINDS = {"users": "u:", "groups": "g:", "circles": "c:"}
 
 
@@ -59,3 +61,20 @@ def rebuild(tokens: Column) -> Column:
         return F.transform(F.filter(tokens, lambda x: x.startswith(sign)), lambda x: F.substring(x, 3, 1_000_000))
 
     return F.struct(of("u:").alias("users"), of("g:").alias("groups"), of("c:").alias("circles"))
+
+
+def visible_totals(viewers: DataFrame, access: DataFrame) -> DataFrame:
+    """(viewer, total): how many documents each viewer may see, exactly, from (viewer, token) and (doc_id, token).
+
+    Documents of a token become bitmaps of 32,768 ids each, so a token that opens a great part of all
+    documents is a few rows to each viewer instead of a row a document; tokens of few documents
+    stay rows, as a bitmap of few bits would be larger than they are.
+    """
+    size = access.groupBy("token").agg(F.countDistinct("doc_id").alias("n"))
+    dense = size.filter(F.col("n") >= DENSE).select("token")
+    placed = access.select("token", F.bitmap_bucket_number(F.col("doc_id")).alias("bucket"), F.bitmap_bit_position(F.col("doc_id")).alias("bit"))
+    maps = placed.join(dense, "token", "left_semi").groupBy("token", "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    many = viewers.join(maps, "token").groupBy("viewer", "bucket").agg(F.bitmap_or_agg("map").alias("map"))
+    few = viewers.join(placed.join(dense, "token", "left_anti"), "token").groupBy("viewer", "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    seen = many.unionByName(few).groupBy("viewer", "bucket").agg(F.bitmap_or_agg("map").alias("map"))
+    return seen.groupBy("viewer").agg(F.sum(F.bitmap_count("map")).alias("total"))

@@ -3,7 +3,14 @@
 Requests are cut into units by the pure parser, one row a unit. Units meet the
 postings by equality of words: a word, the words of a phrase at successive
 positions, or, for a begun word, the dictionary's terms by their first letters.
-Access, tags and dates are applied to what matched. No request loops on the driver.
+
+A search string is matched once, however many requests ask it: units to documents,
+then searches to documents, one row each, spread by (search, document) so that a
+common word is no hot key. What decides about access, dates and tags is joined to
+these rows once. Only then do they meet the requests that ask the search: the
+requests are broadcast up to ``BROADCAST_REQUESTS``, so no row moves, and are joined
+in ``SALTS`` parts of each search beyond. A browse is a search that every document
+matches. No request loops on the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +26,8 @@ from textrill.operators.search import DIGITS
 from textrill.plans.query import MUST, MUST_NOT, SHOULD, Request, compile_query, numeric_option
 from textrill.runtime import materialize
 
-SALTS = 16
+SALTS = 64
+BROADCAST_REQUESTS = 200_000
 UNITS = "request_id long, unit int, words array<string>, prefix boolean, occur string, browse boolean, `limit` long, `offset` long, beyond boolean, refused boolean, since_n long, until_n long"
 
 
@@ -51,28 +59,30 @@ def units_of(requests: DataFrame) -> DataFrame:
 
 
 def unit_hits(units: DataFrame, post: DataFrame) -> DataFrame:
-    """(words, prefix, doc_id, tf) of every distinct unit with words, over the postings."""
+    """(words, prefix, doc_id, tf, len) of every distinct unit with words, over the postings."""
     distinct = units.filter("size(words) > 0").select("words", "prefix").distinct()
     placed = distinct.select("words", "prefix", F.size("words").alias("k"), F.posexplode("words").alias("at", "word"))
     exact = placed.filter("NOT (prefix AND at = k - 1)")
     # begun words: the dictionary's terms under each of their beginnings, as far as one is asked for
     begun = placed.filter("prefix AND at = k - 1")
     asked = begun.select(F.col("word").alias("head")).distinct()
-    heads = post.select("term").distinct().select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n))).alias("head"))
+    # only beginnings as long as one that is asked for; a row a length on the driver
+    lengths = sorted(r[0] for r in asked.select(F.length("head")).distinct().collect())
+    heads = post.select("term").distinct().select("term", F.explode(F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("term")), lambda n: F.substring("term", F.lit(1), n))).alias("head"))
     terms = heads.join(asked, "head", "left_semi")
     expanded = begun.join(terms, begun["word"] == terms["head"]).select("words", "prefix", "k", "at", "term")
     wanted = exact.select("words", "prefix", "k", "at", F.col("word").alias("term")).unionAll(expanded)
     met = wanted.join(post, "term")
-    single = met.filter("k = 1").groupBy("words", "prefix", "doc_id").agg(F.sum("tf").alias("tf"))
+    single = met.filter("k = 1").groupBy("words", "prefix", "doc_id").agg(F.sum("tf").alias("tf"), F.max("len").alias("len"))
     # a phrase starts where each of its k words stands k places on
     starts = (
         met.filter("k > 1")
-        .select("words", "prefix", "k", "at", "doc_id", "field", F.explode("positions").alias("pos"))
+        .select("words", "prefix", "k", "at", "doc_id", "field", "len", F.explode("positions").alias("pos"))
         .groupBy("words", "prefix", "k", "doc_id", "field", (F.col("pos") - F.col("at")).alias("start"))
-        .agg(F.countDistinct("at").alias("n"))
+        .agg(F.countDistinct("at").alias("n"), F.max("len").alias("len"))
         .filter("n = k")
     )
-    return single.unionAll(starts.groupBy("words", "prefix", "doc_id").agg(F.count("*").alias("tf")))
+    return single.unionAll(starts.groupBy("words", "prefix", "doc_id").agg(F.count("*").alias("tf"), F.max("len").alias("len")))
 
 
 def facts_of(docs: DataFrame, access: DataFrame, tags: DataFrame) -> DataFrame:
@@ -86,41 +96,65 @@ def _admitted() -> str:
     return "arrays_overlap(tokens, viewer_tokens) AND (since_n IS NULL OR modified >= since_n) AND (until_n IS NULL OR modified <= until_n) AND (size(wanted) <= 0 OR coalesce(arrays_overlap(metas, wanted), false))"
 
 
-def search(requests: DataFrame, docs: DataFrame, access: DataFrame, tags: DataFrame, post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(request_id, id, score) of everything each request finds, access and tags applied; refused requests find nothing.
+def _key(words: str = "words", prefix: str = "prefix"):
+    return F.concat(F.concat_ws(" ", words), F.when(F.col(prefix), "*").otherwise(""))
+
 
-    Distinct units are matched once, however many requests share them. Whether a request
-    admits a document is decided on the joined row, before anything is grouped.
+def matches(searches: DataFrame, hits: DataFrame, n_docs: int, avg_len: float) -> DataFrame:
+    """(search_key, doc_id, score) of every distinct search with words, whoever asks it.
+
+    ``searches``: search_key, unit_key, occur, musts, shoulds; ``hits``: unit_key, doc_id, tf, len.
     """
-    units = materialize(units_of(requests).withColumn("unit_key", F.concat(F.concat_ws(" ", "words"), F.when(F.col("prefix"), "*").otherwise(""))), "batch-units")
-    hits = materialize(unit_hits(units, post).withColumn("unit_key", F.concat(F.concat_ws(" ", "words"), F.when(F.col("prefix"), "*").otherwise(""))).select("unit_key", "doc_id", "tf"), "batch-hits")
-    facts = materialize(facts_of(docs, access, tags), "batch-facts")
-    n_docs, avg_len = stats.agg(F.count("*"), F.avg("len")).first()
     n = hits.groupBy("unit_key").agg(F.count("*").alias("n"))
     raw = F.log((F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weighed = searches.join(n, "unit_key").withColumn("idf", F.when(raw > 0, raw).otherwise(IDF_FLOOR))
+    weighed = F.broadcast(weighed) if searches.count() <= BROADCAST_REQUESTS else weighed
     gain = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
-    gained = hits.join(n.withColumn("idf", F.when(raw > 0, raw).otherwise(IDF_FLOOR)), "unit_key").join(stats, "doc_id").select("unit_key", "doc_id", gain.alias("gain")).join(facts, "doc_id")
+
+    def of(occur: str):
+        # a search's units are distinct rows, and each meets a document once
+        return F.sum((F.col("occur") == occur).cast("int"))
+
+    met = hits.join(weighed, "unit_key")
+    per = met.groupBy("search_key", "doc_id").agg(
+        F.sum(F.when(F.col("occur") != MUST_NOT, gain).otherwise(0.0)).alias("score"), of(MUST).alias("must_hits"), of(SHOULD).alias("should_hits"), of(MUST_NOT).alias("not_hits"), F.max("musts").alias("musts"), F.max("shoulds").alias("shoulds")
+    )
+    return per.filter("must_hits = musts AND not_hits = 0 AND (shoulds = 0 OR should_hits > 0) AND musts + shoulds > 0").select("search_key", "doc_id", F.round("score", DIGITS).alias("score"))
+
+
+def search(requests: DataFrame, docs: DataFrame, access: DataFrame, tags: DataFrame, post: DataFrame, stats: DataFrame) -> DataFrame:
+    """(request_id, id, score) of everything each request finds, access and tags applied; refused requests find nothing."""
+    units = materialize(units_of(requests).withColumn("unit_key", _key()), "batch-units")
+    said = F.concat_ws("|", "occur", "unit_key")
+    asked = units.filter("NOT beyond AND NOT refused").groupBy("request_id").agg(
+        F.when(F.max("browse"), F.lit("")).otherwise(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("unit", said.alias("said")))), lambda x: x["said"]))).alias("search_key"),
+        F.max("since_n").alias("since_n"),
+        F.max("until_n").alias("until_n"),
+    )
+    asked = materialize(asked, "batch-asked")
+    first = asked.filter("search_key <> ''").groupBy("search_key").agg(F.min("request_id").alias("request_id"))
+    own = units.filter("unit >= 0").join(first, "request_id").select("search_key", "unit", "unit_key", "occur")
+    shape = own.groupBy("search_key").agg(F.sum((F.col("occur") == MUST).cast("int")).alias("musts"), F.sum((F.col("occur") == SHOULD).cast("int")).alias("shoulds"))
+    searches = materialize(own.join(shape, "search_key"), "batch-searches")
+    hits = materialize(unit_hits(units, post).select(_key().alias("unit_key"), "doc_id", "tf", "len"), "batch-hits")
+    n_docs, avg_len = stats.agg(F.count("*"), F.avg("len")).first()
+    found = matches(searches, hits, n_docs, avg_len or 1.0)
+    facts = materialize(facts_of(docs, access, tags), "batch-facts")
+    rows = found.join(facts, "doc_id")
+    if not asked.filter("search_key = ''").limit(1).isEmpty():
+        rows = rows.unionByName(facts.select(F.lit("").alias("search_key"), F.lit(0.0).alias("score"), *facts.columns))
     empty = F.array().cast("array<string>")
     asks = requests.select(
         "request_id",
         token_column(viewer=F.col("viewer"), groups=F.col("groups"), circles=F.col("circles")).alias("viewer_tokens"),
         F.filter(F.coalesce("meta_tags", empty), lambda x: x.isNotNull()).alias("wanted"),
-    )
-    live = units.filter("NOT beyond AND NOT refused").join(asks, "request_id")
-    shape = live.groupBy("request_id").agg(F.sum((F.col("occur") == MUST).cast("int")).alias("musts"), F.sum((F.col("occur") == SHOULD).cast("int")).alias("shoulds"))
-    met = live.filter("unit >= 0").select("request_id", "unit", "unit_key", "occur", "viewer_tokens", "wanted", "since_n", "until_n").join(gained, "unit_key").filter(_admitted())
-
-    def of(occur: str):
-        # a request's units are distinct rows, and each meets a document once
-        return F.sum((F.col("occur") == occur).cast("int"))
-
-    per = met.groupBy("request_id", "doc_id").agg(F.sum(F.when(F.col("occur") != MUST_NOT, F.col("gain")).otherwise(0.0)).alias("score"), of(MUST).alias("must_hits"), of(SHOULD).alias("should_hits"), of(MUST_NOT).alias("not_hits"))
-    matched = per.join(shape, "request_id").filter("must_hits = musts AND not_hits = 0 AND (shoulds = 0 OR should_hits > 0) AND musts + shoulds > 0")
-    # a browse starts from what the viewer may see
-    browsing = live.filter("browse").select("request_id", "viewer_tokens", "wanted", "since_n", "until_n")
-    pairs = browsing.select("request_id", F.explode("viewer_tokens").alias("token")).join(access.select("doc_id", "token"), "token").select("request_id", "doc_id").distinct()
-    browsed = pairs.join(browsing, "request_id").join(facts, "doc_id").filter(_admitted()).select("request_id", "doc_id", F.lit(0.0).alias("score"))
-    return matched.select("request_id", "doc_id", "score").unionAll(browsed).select("request_id", F.col("doc_id").alias("id"), F.round("score", DIGITS).alias("score"))
+    ).join(asked, "request_id")
+    if requests.count() <= BROADCAST_REQUESTS:
+        met = rows.join(F.broadcast(asks), "search_key")
+    else:
+        salted = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["search_key", "salt"])
+    return met.filter(_admitted()).select("request_id", F.col("doc_id").alias("id"), "score")
 
 
 def pages(found: DataFrame, requests: DataFrame) -> DataFrame:
@@ -131,7 +165,7 @@ def pages(found: DataFrame, requests: DataFrame) -> DataFrame:
     """
     limits = requests.select("request_id", F.greatest(F.lit(1), F.coalesce("size", F.lit(0))).alias("l"), F.coalesce("page", F.lit(1)).alias("p")).withColumn("o", F.greatest(F.lit(0), (F.col("p") - 1) * F.col("l")))
     best = [F.desc("score"), F.asc("id")]
-    rows = found.join(limits, "request_id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    rows = found.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(limits, "request_id")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id", "part").orderBy(*best))).filter("rank <= o + l")
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(*best))
     return rows.withColumn("rank", rank).filter("rank > o AND rank <= o + l").select("request_id", F.col("rank").cast("int").alias("rank"), "id", "score")

@@ -6,17 +6,19 @@ Every query runs over whole tables. The searched columns are ``title_norm`` and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textrill import schemas
 from textrill.functions import text as X
 from textrill.operators import access as A
 from textrill.operators import batch, index, match, ops, search
 from textrill.operators.match import IDF_FLOOR
 from textrill.plans.query import MUST, MUST_NOT, SHOULD, Compiled, Request, compile_query
-from textrill.runtime import materialize, table
+from textrill.runtime import forget_at_exit, materialize, shared_dir, table
 
 TITLE, CONTENT = "title_norm", "content_norm"
 VIEWER = A.viewer_tokens(viewer="isbei", groups=["ampa", "claustre", "musica"], circles=["circ-015"])
@@ -205,11 +207,30 @@ def corpus_stats(spark, d):
     return index.corpus_stats(index.doc_stats(_docs(spark, d), TITLE, CONTENT)).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
-# matching, one query for each rule
+# matching, one query for each rule, from the stored index
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, lengths, corpus figures) of the index of index_documents, built and stored once for an application and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        folder = f"{shared_dir(spark)}/index-{key[0]}-{uuid.uuid4().hex[:12]}"
+        index.write(_docs(spark, d), folder, TITLE, CONTENT)
+        forget_at_exit(spark, folder)
+        _stored[key] = folder
+    read = spark.read.schema
+    return read(schemas.POSTINGS).parquet(f"{_stored[key]}/postings"), read(schemas.DOC_STATS).parquet(f"{_stored[key]}/doc_stats"), spark.read.parquet(f"{_stored[key]}/corpus")
 
 
 def _hits(spark, d, search_, profile="fts5"):
-    return match.scan_hits(_docs(spark, d), compile_query(search_, profile), TITLE, CONTENT).select("id", F.round("score", 6).alias("score"))
+    return match.index_hits(*_index_for(spark, d, compile_query(search_, profile))).select("id", F.round("score", 6).alias("score"))
+
+
+def _index_for(spark, d, compiled):
+    post, stats, corpus = stored_index(spark, d)
+    return post, stats, compiled, corpus
 
 
 def _add_match(name: str, search_: str, profile: str = "fts5") -> None:
@@ -248,19 +269,36 @@ for _name, _search, _profile in (
 
 
 @query(sql_search(COMBINED))
-def match_from_postings(spark, d):
-    """The combined search again, read from stored postings instead of texts."""
-    docs = _docs(spark, d)
-    post = materialize(index.postings(docs, TITLE, CONTENT), "postings")
-    return match.index_hits(post, index.doc_stats(docs, TITLE, CONTENT), compile_query(COMBINED)).select("id", F.round("score", 6).alias("score"))
+def match_from_texts(spark, d):
+    """The combined search again, read from the texts, as where there is no index."""
+    return match.scan_hits(_docs(spark, d), compile_query(COMBINED), TITLE, CONTENT).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT id, {X.sql_tokens(TITLE)} AS tt, {X.sql_tokens(CONTENT)} AS ct FROM index_documents),
+    p AS (SELECT id, len(tt) AS n, unnest(list_concat(tt, ct)) AS term, generate_subscripts(list_concat(tt, ct), 1) - 1 AS pos FROM w),
+    h AS (SELECT id, pos, term, CASE WHEN pos < n THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS weight FROM p WHERE term IN ('guia', 'biblioteca')),
+    l AS (SELECT *, lag(term) OVER o AS before, lag(pos) OVER o AS p0, lag(weight) OVER o AS w0 FROM h WINDOW o AS (PARTITION BY id ORDER BY pos))
+    SELECT id, round(sum(2 / (1 / w0 + 1 / weight) / (pos - p0)), 6) AS score FROM l WHERE before <> term GROUP BY id"""
+)
 def rank_cover_density(spark, d):
-    """The combined search under tsquery, ranked by cover density."""
+    """Cover-density rank of two required words: the covers are neighbours of different words."""
+    from textrill.operators.cover import cover_hits
+
+    post, stats, _ = stored_index(spark, d)
+    return cover_hits(post, stats, compile_query("+guia +biblioteca", "tsquery")).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH w AS (SELECT id, {X.sql_tokens(TITLE)} AS tt, {X.sql_tokens(CONTENT)} AS ct FROM index_documents)
+    SELECT id, round(len(list_filter(tt, lambda x: x = 'museu')) * 1.0::DOUBLE + len(list_filter(ct, lambda x: x = 'museu')) * 0.4::DOUBLE, 6) AS score FROM w WHERE list_contains(tt, 'museu') OR list_contains(ct, 'museu')"""
+)
+def rank_title_weight(spark, d):
+    """Weights of the fields: a word in the title counts 1.0, in the content 0.4."""
     from textrill.operators.cover import cover_hits
 
-    return cover_hits(_docs(spark, d), compile_query(COMBINED, "tsquery"), TITLE, CONTENT).select("id", F.round("score", 6).alias("score"))
+    post, stats, _ = stored_index(spark, d)
+    return cover_hits(post, stats, compile_query("+museu", "tsquery")).select("id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT id, content_norm AS scrubbed, content_norm IS NOT NULL AS valid FROM index_documents WHERE content_norm IS NOT NULL")
@@ -275,7 +313,9 @@ def utf8_repair(spark, d):
 
 def _base(spark, d, request: Request, tokens=VIEWER):
     docs, access, tags = _tables(spark, d)
-    return search.base(docs, access, tags, request, tokens, title=TITLE, content=CONTENT)
+    compiled = compile_query(request.search)
+    hits = None if compiled.browse else match.index_hits(*_index_for(spark, d, compiled))
+    return search.base(docs, access, tags, request, tokens, compiled, hits, title=TITLE, content=CONTENT)
 
 
 @query(f"{sql_search(FLAGSHIP, VIEWER)} ORDER BY 2 DESC, 1 LIMIT 20")
@@ -530,9 +570,8 @@ def access_totals(spark, d):
     docs, access, _ = _tables(spark, d)
     people = table(spark, d, "accounts")
     tokens = people.select("viewer", F.explode(A.token_column(viewer=F.col("viewer"), groups=F.col("groups"), circles=F.col("circles"))).alias("token"))
-    live = access.select("doc_id", "token").distinct().join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    seen = tokens.join(live, "token").groupBy("viewer").agg(F.countDistinct("doc_id").alias("total"))
-    return people.select("viewer").join(seen, "viewer", "left").fillna(0, ["total"])
+    live = access.select("doc_id", "token").join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return people.select("viewer").join(A.visible_totals(tokens, live), "viewer", "left").fillna(0, ["total"])
 
 
 @query("SELECT event_type, list_sort(list(value))[(floor(0.5 * count(*)))::BIGINT + 1] AS p50, list_sort(list(value))[least(floor(0.95 * count(*))::BIGINT, count(*) - 1) + 1] AS p95 FROM events GROUP BY event_type")
@@ -549,8 +588,8 @@ def latency_percentiles(spark, d):
 def _batch(spark, d):
     docs, access, tags = _tables(spark, d)
     requests = table(spark, d, "search_requests")
-    post = materialize(index.postings(docs, TITLE, CONTENT), "postings")
-    return batch.search(requests, docs, access, tags, post, index.doc_stats(docs, TITLE, CONTENT)), requests
+    post, stats, _ = stored_index(spark, d)
+    return batch.search(requests, docs, access, tags, post, stats), requests
 
 
 @query()
@@ -654,9 +693,6 @@ def extract_plain(spark, d):
 @query(_sql["replace_last_wins"])
 def stream_last_wins(spark, d):
     """The change feed as a stream: the last operation of each document, kept batch by batch."""
-    import uuid
-
-    from textrill.runtime import shared_dir
     from textrill.streaming.changes import latest
 
     source = table(spark, d, "index_changes")

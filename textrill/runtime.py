@@ -82,11 +82,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    _forget_at_exit(spark, path)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
+def forget_at_exit(spark: SparkSession, path: str) -> None:
     """Intermediate tables go when the application ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
