@@ -21,20 +21,20 @@ class OleFile:
 
     def __init__(self, data: bytes):
         if len(data) < 512 or not data.startswith(MAGIC):
-            raise Abort(GAVE_UP, "not a compound file")
+            raise Abort(GAVE_UP, "OLE: the file has no compound-file signature")
         if len(data) > SIZE_CAP:
-            raise Abort(GAVE_UP, f"the document is {len(data):,} bytes, past the {SIZE_CAP:,}-byte cap")
+            raise Abort(GAVE_UP, f"OLE: {len(data):,} bytes, more than the {SIZE_CAP:,} that are read")
         self.data = data
         shift, mini_shift = struct.unpack_from("<HH", data, 30)
         if shift not in (9, 12) or mini_shift != 6:
-            raise Abort(GAVE_UP, "unknown sector size in the compound file")
+            raise Abort(GAVE_UP, "OLE: sector size neither 512 nor 4,096")
         self.sector = 1 << shift
         n_fat, first_dir, _, self.cutoff, first_mini, _, first_difat, n_difat = struct.unpack_from("<IIIIIIII", data, 44)
         fat_at = list(struct.unpack_from("<109I", data, 76))
         seen = set()
         while first_difat not in (FREE, END) and len(seen) <= n_difat:
             if first_difat in seen:
-                raise Abort(GAVE_UP, "a cycle in the compound file's sector table")
+                raise Abort(GAVE_UP, "OLE: the chain of table sectors runs in a circle")
             seen.add(first_difat)
             block = self._raw(first_difat)
             *more, first_difat = struct.unpack(f"<{self.sector // 4}I", block)
@@ -61,14 +61,14 @@ class OleFile:
         at = (sector + 1) * self.sector
         block = self.data[at : at + self.sector]
         if not block:
-            raise Abort(GAVE_UP, "a sector lies outside the compound file")
+            raise Abort(GAVE_UP, "OLE: a sector number points past the file's end")
         return block.ljust(self.sector, b"\0")
 
     def _chain(self, start: int) -> bytes:
         out, seen = bytearray(), set()
         while start not in (FREE, END):
             if start in seen or start >= len(self.fat):
-                raise Abort(GAVE_UP, "a cycle or gap in the compound file's sectors")
+                raise Abort(GAVE_UP, "OLE: a chain of sectors breaks off or runs in a circle")
             seen.add(start)
             out += self._raw(start)
             start = self.fat[start]
@@ -79,13 +79,13 @@ class OleFile:
             return None
         start, size = self.entries[name]
         if size > len(self.data):
-            raise Abort(GAVE_UP, "a stream is longer than its file")
+            raise Abort(GAVE_UP, "OLE: a stream claims more bytes than the file has")
         if size >= self.cutoff:
             return self._chain(start)[:size]
         out, seen = bytearray(), set()
         while start not in (FREE, END) and len(out) < size:
             if start in seen or start >= len(self.mini_fat):
-                raise Abort(GAVE_UP, "a cycle or gap in the compound file's small sectors")
+                raise Abort(GAVE_UP, "OLE: a chain of small sectors breaks off or runs in a circle")
             seen.add(start)
             out += self.mini[start * 64 : start * 64 + 64]
             start = self.mini_fat[start]
@@ -115,10 +115,10 @@ class _Records:
             self.deadline.check(256)
             self.left -= 1
             if self.left < 0:
-                raise Abort(GAVE_UP, "the presentation has too many records")
+                raise Abort(GAVE_UP, "PPT: more records than are walked")
             info, kind, length = struct.unpack_from("<HHI", self.data, at)
             if at + 8 + length > end:
-                raise Abort(GAVE_UP, "a record reaches past its container")
+                raise Abort(GAVE_UP, "PPT: a record is longer than what holds it")
             yield info & 15, info >> 4, kind, at + 8, at + 8 + length
             at += 8 + length
 
@@ -127,13 +127,13 @@ def read_ppt(data: bytes, _extension: str, sink: Sink, deadline: Deadline) -> No
     ole = OleFile(data)
     user = ole.stream("Current User")
     if user is None or len(user) < 20:
-        raise Abort(GAVE_UP, "no Current User stream in the compound container")
+        raise Abort(GAVE_UP, "PPT: stream Current User expected, not found")
     token, edit = struct.unpack_from("<II", user, 12)
     if token == PPT_ENCRYPTED:
-        raise Abort(ENCRYPTED, "the presentation is encrypted: indexed on title, access and tags only")
+        raise Abort(ENCRYPTED, "PPT: the token of an encrypted file")
     doc = ole.stream("PowerPoint Document")
     if doc is None:
-        raise Abort(GAVE_UP, "no PowerPoint Document stream in the compound container")
+        raise Abort(GAVE_UP, "PPT: stream PowerPoint Document expected, not found")
     records = _Records(doc, deadline)
     places = _persisted(doc, edit)
     root = next((at for at in (places.get(p) for p in sorted(places)) if at is not None and at + 8 <= len(doc) and struct.unpack_from("<H", doc, at + 2)[0] == DOCUMENT), None)
@@ -141,7 +141,7 @@ def read_ppt(data: bytes, _extension: str, sink: Sink, deadline: Deadline) -> No
     if root is not None:
         length = struct.unpack_from("<I", doc, root + 4)[0]
         if root + 8 + length > len(doc):
-            raise Abort(GAVE_UP, "a record reaches past its container")
+            raise Abort(GAVE_UP, "PPT: a record is longer than what holds it")
         for _, instance, kind, a, b in records.children(root + 8, root + 8 + length):
             if kind == SLIDE_LIST and instance == 0:
                 current = None
@@ -158,10 +158,10 @@ def read_ppt(data: bytes, _extension: str, sink: Sink, deadline: Deadline) -> No
         if sink.full:
             return
         if at + 8 > len(doc):
-            raise Abort(GAVE_UP, "a slide lies outside the presentation")
+            raise Abort(GAVE_UP, "PPT: the directory places a slide past the stream's end")
         length = struct.unpack_from("<I", doc, at + 4)[0]
         if at + 8 + length > len(doc):
-            raise Abort(GAVE_UP, "a record reaches past its container")
+            raise Abort(GAVE_UP, "PPT: a record is longer than what holds it")
         _slide(records, at + 8, at + 8 + length, lists.get(persist, []), sink, 0)
 
 
@@ -193,7 +193,7 @@ def _persisted(doc: bytes, edit: int) -> dict[int, int]:
 def _slide(records: _Records, start: int, end: int, outline: list, sink: Sink, depth: int) -> None:
     """The text of a slide's shapes, groups included; a shape may refer to the outline's text."""
     if depth > MAX_DEPTH:
-        raise Abort(GAVE_UP, "the presentation is nested too deep")
+        raise Abort(GAVE_UP, "PPT: groups of shapes nested deeper than is followed")
     for version, _, kind, a, b in records.children(start, end):
         if sink.full:
             return
@@ -224,13 +224,13 @@ def read_xls(data: bytes, _extension: str, sink: Sink, deadline: Deadline) -> No
     ole = OleFile(data)
     book = ole.stream("Workbook") or ole.stream("Book")
     if book is None:
-        raise Abort(GAVE_UP, "no Workbook stream in the compound container")
+        raise Abort(GAVE_UP, "XLS: neither stream Workbook nor Book found")
     records, at = [], 0
     while at + 4 <= len(book):
         deadline.check()
         kind, length = struct.unpack_from("<HH", book, at)
         if kind == FILEPASS:
-            raise Abort(ENCRYPTED, "the workbook is encrypted: indexed on title, access and tags only")
+            raise Abort(ENCRYPTED, "XLS: a FILEPASS record, so the cells are enciphered")
         records.append((kind, at + 4, min(len(book), at + 4 + length)))
         at += 4 + length
     strings: list[str] = []
@@ -329,19 +329,19 @@ def read_doc(data: bytes, _extension: str, sink: Sink, deadline: Deadline) -> No
     ole = OleFile(data)
     word = ole.stream("WordDocument")
     if word is None:
-        raise Abort(GAVE_UP, "no WordDocument stream in the compound container")
+        raise Abort(GAVE_UP, "DOC: stream WordDocument expected, not found")
     if len(word) < 32 or struct.unpack_from("<H", word)[0] != WORD_MAGIC:
-        raise Abort(GAVE_UP, "no Word file information block in the WordDocument stream")
+        raise Abort(GAVE_UP, "DOC: stream WordDocument does not begin with 0xA5EC")
     flags = struct.unpack_from("<H", word, 10)[0]
     if flags & WORD_ENCRYPTED:
-        raise Abort(ENCRYPTED, "the document is encrypted: indexed on title, access and tags only")
+        raise Abort(ENCRYPTED, "DOC: the header's encryption bit is set")
     table = ole.stream("1Table" if flags & WORD_TABLE1 else "0Table")
     if table is None:
-        raise Abort(GAVE_UP, "no table stream in the compound container")
+        raise Abort(GAVE_UP, "DOC: the table stream that the header names was not found")
     if (text := _pieces(word, table, deadline)) is None:
         first, last = struct.unpack_from("<II", word, 24)
         if not first <= last <= len(word):
-            raise Abort(GAVE_UP, "the text lies outside the WordDocument stream")
+            raise Abort(GAVE_UP, "DOC: the text ends past its stream")
         text = word[first:last].decode("cp1252", "replace")
     lines = _without_fields("".join(WORD_SPECIAL.get(c, c) for c in text)).split("\n")
     for line in lines:
@@ -362,17 +362,17 @@ def _pieces(word: bytes, table: bytes, deadline: Deadline) -> str | None:
     if not length:
         return None
     if start + length > len(table):
-        raise Abort(GAVE_UP, "the piece table lies outside its stream")
+        raise Abort(GAVE_UP, "DOC: the piece table ends past its stream")
     at, end = start, start + length
     while at < end and table[at] == 1:
         at += 3 + struct.unpack_from("<H", table, at + 1)[0]
     if at + 5 > end or table[at] != 2:
-        raise Abort(GAVE_UP, "no piece table where one is announced")
+        raise Abort(GAVE_UP, "DOC: the header points to a piece table, but none is there")
     size = struct.unpack_from("<I", table, at + 1)[0]
     at += 5
     n = (size - 4) // 12
     if n < 1 or at + size > len(table):
-        raise Abort(GAVE_UP, "a broken piece table")
+        raise Abort(GAVE_UP, "DOC: the piece table has no whole number of pieces")
     places = struct.unpack_from(f"<{n + 1}I", table, at)
     out = []
     for i in range(n):

@@ -12,7 +12,7 @@ import unicodedata
 import zlib
 from dataclasses import dataclass
 
-from textrill.extract.common import ENCRYPTED, GAVE_UP, Abort, Deadline, Full, Sink
+from textrill.extract.common import ENCRYPTED, GAVE_UP, OUT_OF_TIME, Abort, Deadline, Full, Sink
 
 MAX_NEST, MAX_PAGES, MAX_TREE, MAX_FORMS, MAX_MAP, MAX_OBJECTS = 24, 100_000, 64, 8, 65_536, 1_000_000
 _SPACE, _DELIM = b"\0\t\n\x0c\r ", b"()<>[]{}/%"
@@ -330,7 +330,7 @@ class Crypt:
         g = lambda k, d=None: resolve(entry.get(k, d))
         v, r, length = g("V", 0), g("R", 0), g("Length", 40) or 40
         if (v, r) not in ((1, 2), (1, 3), (2, 3), (4, 4)):
-            raise Abort(ENCRYPTED, "the document is encrypted in a way that is not opened")
+            raise Abort(ENCRYPTED, f"PDF: security handler version {v}, revision {r} is not opened")
         self.aes = False
         if v == 4:
             filters = g("CF") or {}
@@ -355,7 +355,7 @@ class Crypt:
                 x = rc4(bytes(k ^ i for k in self.key), x)
             good = x == user[:16]
         if not good:
-            raise Abort(ENCRYPTED, "the document needs a password: indexed on title, access and tags only")
+            raise Abort(ENCRYPTED, "PDF: the empty password does not open it")
 
     def open(self, data: bytes, number: int, generation: int) -> bytes:
         salt = struct.pack("<I", number)[:3] + struct.pack("<I", generation)[:2] + (b"sAlT" if self.aes else b"")
@@ -368,7 +368,7 @@ class Document:
 
     def __init__(self, data: bytes, deadline: Deadline, cap: int):
         if b"%PDF-" not in data[:1024]:
-            raise Abort(GAVE_UP, "not a pdf")
+            raise Abort(GAVE_UP, "PDF: no header in the first kilobyte")
         self.data, self.deadline, self.cap = data, deadline, cap
         self.places: dict[int, tuple] = {}
         self.trailer: dict = {}
@@ -387,7 +387,7 @@ class Document:
             self.cache.clear()
             self.packed.clear()
             if not isinstance(entry, dict):
-                raise Abort(ENCRYPTED, "the document is encrypted")
+                raise Abort(ENCRYPTED, "PDF: a security handler other than the standard one")
             self.encrypt_ref = self.trailer["Encrypt"]
             self.crypt = Crypt(entry, ids[0] if ids and isinstance(ids[0], bytes) else b"", self.resolve)
             self.cache.clear()
@@ -821,7 +821,7 @@ class Reader:
             if data:
                 self.scan(b"\n".join(data), resources)
         except Abort as abort:
-            if "time budget" in str(abort):
+            if str(abort) == OUT_OF_TIME:
                 raise
             self.unreadable += 1
 
@@ -845,18 +845,32 @@ class Reader:
             self.page(node, resources)
 
 
-def read_pdf(data: bytes, _extension: str, sink: Sink, deadline: Deadline) -> str | None:
+def _walked(data: bytes, sink: Sink, deadline: Deadline) -> Reader:
     doc = Document(data, deadline, max(8 * sink.budget, 8 << 20))
     catalog = doc.resolve(doc.trailer.get("Root"))
     if not isinstance(catalog, dict):
-        raise Abort(GAVE_UP, "no catalog in the pdf")
+        raise Abort(GAVE_UP, "PDF: its trailer leads to no catalog")
     if not isinstance(doc.resolve(catalog.get("Pages")), dict):
-        raise Abort(GAVE_UP, "no page tree in the pdf")
+        raise Abort(GAVE_UP, "PDF: its catalog leads to no pages")
     reader = Reader(doc, sink, deadline)
     reader.tree(catalog["Pages"], {}, 0, set())
+    return reader
+
+
+def read_pdf(data: bytes, _extension: str, sink: Sink, deadline: Deadline) -> str | None:
+    reader = _walked(data, sink, deadline)
     gaps = []
     if reader.unreadable:
-        gaps.append(f"{reader.unreadable} of {reader.pages} page(s) could not be read")
+        gaps.append(f"PDF: pages without readable content: {reader.unreadable} of {reader.pages}")
     if reader.undecodable:
-        gaps.append("some text runs used fonts with no usable encoding")
-    return " and ".join(gaps) or None
+        gaps.append(f"PDF: runs of text in fonts that lead to no characters: {reader.undecodable}")
+    return "; ".join(gaps) or None
+
+
+def counters(data: bytes, budget: int = 64 << 20) -> tuple[int, int, int]:
+    """Pages, pages that could not be read, and runs of text that could not be decoded; zeros for a broken file."""
+    try:
+        reader = _walked(data, Sink(budget), Deadline(None))
+    except Exception:  # noqa: BLE001 - a broken file has no counters
+        return 0, 0, 0
+    return reader.pages, reader.unreadable, reader.undecodable

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import zipfile
@@ -9,6 +10,7 @@ import zlib
 from xml.sax.saxutils import escape
 
 from textrill.extract.ole import DOCUMENT, END, FREE, MAGIC, PERSIST, PERSIST_ATOM, SLIDE, SLIDE_LIST, TEXT_CHARS, USER_EDIT
+from textrill.extract.pdf import PAD, rc4
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -67,23 +69,83 @@ def pdf_stream(data: bytes, extra: bytes = b"") -> bytes:
     return b"<</Length %d%s>>\nstream\n%s\nendstream" % (len(data), extra, data)
 
 
-def pdf(text: str) -> bytes:
-    """Any text: two-byte codes of its own with a map back to Unicode, one deflated page."""
+def _pdf_text(text: str) -> tuple[bytes, bytes]:
+    """Content and character map of a page: two-byte codes of its own, mapped back to Unicode."""
     codes = {c: i for i, c in enumerate(sorted(set(text) - {"\n"}), 1)}
     lines = b"".join(b"<%s> Tj T*\n" % "".join(f"{codes[c]:04X}" for c in line).encode() if line else b"T*\n" for line in text.split("\n"))
-    content = b"BT /F1 12 Tf\n" + lines + b"ET"
     rows = [f"<{n:04X}> <{c.encode('utf-16-be').hex()}>" for c, n in codes.items()]
     cmap = "1 begincodespacerange <0000> <FFFF> endcodespacerange\n" + "".join(f"{len(rows[i : i + 100])} beginbfchar\n" + "\n".join(rows[i : i + 100]) + "\nendbfchar\n" for i in range(0, len(rows), 100))
-    return pdf_objects(
-        [
-            b"<</Type/Catalog/Pages 2 0 R>>",
-            b"<</Type/Pages/Kids[3 0 R]/Count 1>>",
-            b"<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>",
-            pdf_stream(zlib.compress(content), b"/Filter/FlateDecode"),
-            b"<</Type/Font/Subtype/Type0/BaseFont/X/Encoding/Identity-H/ToUnicode 6 0 R>>",
-            pdf_stream(cmap.encode()),
-        ]
-    )
+    return b"BT /F1 12 Tf\n" + lines + b"ET", cmap.encode()
+
+
+_CATALOG, _TREE, _PAGE = b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1>>", b"<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>"
+_FONT = b"<</Type/Font/Subtype/Type0/BaseFont/X/Encoding/Identity-H/ToUnicode 6 0 R>>"
+
+
+def pdf(text: str) -> bytes:
+    """Any text on one deflated page."""
+    content, cmap = _pdf_text(text)
+    return pdf_objects([_CATALOG, _TREE, _PAGE, pdf_stream(zlib.compress(content), b"/Filter/FlateDecode"), _FONT, pdf_stream(cmap)])
+
+
+def pdf_encrypted(text: str, password: bytes = b"") -> bytes:
+    """The same under the standard security handler: RC4, 128 bits, third revision."""
+    owner, rights, ident = b"o" * 32, -4, b"0123456789abcdef"
+    key = hashlib.md5((password + PAD)[:32] + owner + struct.pack("<i", rights) + ident).digest()
+    for _ in range(50):
+        key = hashlib.md5(key).digest()
+    user = rc4(key, hashlib.md5(PAD + ident).digest())
+    for i in range(1, 20):
+        user = rc4(bytes(k ^ i for k in key), user)
+
+    def locked(data: bytes, number: int) -> bytes:
+        return rc4(hashlib.md5(key + struct.pack("<I", number)[:3] + b"\0\0").digest(), data)
+
+    content, cmap = _pdf_text(text)
+    objects = [_CATALOG, _TREE, _PAGE, pdf_stream(locked(zlib.compress(content), 4), b"/Filter/FlateDecode"), _FONT, pdf_stream(locked(zlib.compress(cmap), 6), b"/Filter/FlateDecode")]
+    entry = b"<</Filter/Standard/V 2/R 3/Length 128/P %d/O<%s>/U<%s>>>" % (rights, owner.hex().encode(), (user + b"\0" * 16).hex().encode())
+    return pdf_objects(objects, b"/Encrypt " + entry + b"/ID[<%s><%s>]" % (ident.hex().encode(), ident.hex().encode()))
+
+
+def pdf_compressed(text: str) -> bytes:
+    """The same with all but the streams in an object stream, and a cross-reference stream with a row predictor."""
+    content, cmap = _pdf_text(text)
+    inner = {1: _CATALOG, 2: _TREE, 3: _PAGE, 5: _FONT}
+    heads, body = [], b""
+    for number, data in inner.items():
+        heads.append(b"%d %d" % (number, len(body)))
+        body += data + b"\n"
+    head = b" ".join(heads) + b"\n"
+    outer = {
+        4: pdf_stream(zlib.compress(content), b"/Filter/FlateDecode"),
+        6: pdf_stream(cmap),
+        7: pdf_stream(zlib.compress(head + body), b"/Type/ObjStm/N %d/First %d/Filter/FlateDecode" % (len(inner), len(head))),
+    }
+    out, rows = bytearray(b"%PDF-1.5\n"), {0: (0, 0, 65535), **{n: (2, 7, i) for i, n in enumerate(inner)}}
+    for number, data in outer.items():
+        rows[number] = (1, len(out), 0)
+        out += b"%d 0 obj\n%s\nendobj\n" % (number, data)
+    start = len(out)
+    rows[8] = (1, start, 0)
+    plain = [struct.pack(">BIH", *rows[n]) for n in range(9)]
+    before, filtered = b"\0" * 7, b""
+    for row in plain:
+        filtered += b"\2" + bytes((a - b) & 255 for a, b in zip(row, before))
+        before = row
+    out += b"8 0 obj\n%s\nendobj\n" % pdf_stream(zlib.compress(filtered), b"/Type/XRef/Size 9/W[1 4 2]/Root 1 0 R/Filter/FlateDecode/DecodeParms<</Predictor 12/Columns 7>>")
+    return bytes(out + b"startxref\n%d\n%%%%EOF" % start)
+
+
+def pdf_pages(pages: int, broken: int = 0, unmapped: int = 0) -> bytes:
+    """Pages of one word each; the first ones have a content no filter opens, the last ones a font without a way to Unicode."""
+    kids = b" ".join(b"%d 0 R" % (5 + 2 * i) for i in range(pages))
+    fonts = [b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>", b"<</Type/Font/Subtype/Type0/BaseFont/X/Encoding/Identity-H>>"]
+    objects = [_CATALOG, b"<</Type/Pages/Kids[%s]/Count %d>>" % (kids, pages), *fonts]
+    for i in range(pages):
+        font = 4 if i >= pages - unmapped else 3
+        objects.append(b"<</Type/Page/Parent 2 0 R/Contents %d 0 R/Resources<</Font<</F1 %d 0 R>>>>>>" % (6 + 2 * i, font))
+        objects.append(pdf_stream(b"BT /F1 1 Tf (word) Tj ET", b"/Filter/LZWDecode" if i < broken else b""))
+    return pdf_objects(objects)
 
 
 def ole(streams: dict[str, bytes]) -> bytes:
@@ -121,17 +183,32 @@ def _record(kind: int, data: bytes) -> bytes:
 def xls(rows: list[list[str | float]], password: bool = False) -> bytes:
     """A workbook with shared strings; numbers are numbers."""
     strings = sorted({x for row in rows for x in row if isinstance(x, str)})
-    body = b"".join(struct.pack("<HB", len(s), 1) + s.encode("utf-16-le") for s in strings)
+    place = {s: i for i, s in enumerate(strings)}
     out = _record(0x809, struct.pack("<HH", 0x600, 5) + b"\0" * 12)
     if password:
         out += _record(0x2F, b"\0" * 6)
-    sst = struct.pack("<II", len(strings), len(strings)) + body
-    out += _record(0xFC, sst[:8000])
+    # shared strings; what does not fit a record goes on in the next one, after a flag of its width
+    most, parts, now = 8000, [], struct.pack("<II", len(strings), len(strings))
+    for s in strings:
+        if len(now) + 5 > most:
+            parts.append(now)
+            now = b""
+        now += struct.pack("<HB", len(s.encode("utf-16-le")) // 2, 1)
+        raw = s.encode("utf-16-le")
+        while raw:
+            room = (most - len(now)) // 2 * 2
+            now += raw[:room]
+            raw = raw[room:]
+            if raw:
+                parts.append(now)
+                now = b"\1"
+    parts.append(now)
+    out += b"".join(_record(0x3C if i else 0xFC, part) for i, part in enumerate(parts))
     out += _record(0x0A, b"") + _record(0x809, struct.pack("<HH", 0x600, 0x10) + b"\0" * 12)
     for r, row in enumerate(rows):
         for c, x in enumerate(row):
             if isinstance(x, str):
-                out += _record(0xFD, struct.pack("<HHHI", r, c, 0, strings.index(x)))
+                out += _record(0xFD, struct.pack("<HHHI", r, c, 0, place[x]))
             else:
                 out += _record(0x203, struct.pack("<HHHd", r, c, 0, x))
     return ole({"Workbook": out + _record(0x0A, b"")})

@@ -592,20 +592,6 @@ def _batch(spark, d):
     return batch.search(requests, docs, access, tags, post, stats), requests
 
 
-@query()
-def batch_pages(spark, d):
-    """The page of every request of search_requests, over all rows."""
-    found, requests = _batch(spark, d)
-    return batch.pages(found, requests)
-
-
-@query()
-def batch_totals(spark, d):
-    """The exact total of every request of search_requests."""
-    found, requests = _batch(spark, d)
-    return batch.totals(found, requests)
-
-
 # extraction, by round trip over every document
 
 
