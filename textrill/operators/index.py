@@ -53,12 +53,21 @@ def stale(docs: DataFrame, title_norm: str = "title_norm", content_norm: str = "
     return docs.filter(F.col(title_norm).isNull() & F.col(content_norm).isNull())
 
 
-def write(docs: DataFrame, folder: str, title: str = "title", content: str = "content", id: str = "id") -> None:
-    """Stores postings (range-partitioned and sorted by term and document), document lengths and corpus figures."""
-    spark = docs.sparkSession
+def write_postings(docs: DataFrame, folder: str, title: str = "title", content: str = "content", id: str = "id") -> None:
+    """Stores postings, range-partitioned and sorted by term and document."""
     postings(docs, title, content, id).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "field").write.mode("overwrite").parquet(f"{folder}/postings")
+
+
+def write_stats(docs: DataFrame, folder: str, title: str = "title", content: str = "content", id: str = "id") -> None:
+    """Stores document lengths."""
     doc_stats(docs, title, content, id).write.mode("overwrite").parquet(f"{folder}/doc_stats")
-    corpus_stats(spark.read.schema("doc_id long, len int").parquet(f"{folder}/doc_stats")).write.mode("overwrite").parquet(f"{folder}/corpus")
+
+
+def write(docs: DataFrame, folder: str, title: str = "title", content: str = "content", id: str = "id") -> None:
+    """Stores the whole index: postings, document lengths and corpus figures."""
+    write_postings(docs, folder, title, content, id)
+    write_stats(docs, folder, title, content, id)
+    corpus_stats(docs.sparkSession.read.schema("doc_id long, len int").parquet(f"{folder}/doc_stats")).write.mode("overwrite").parquet(f"{folder}/corpus")
 
 
 def ensure(spark, folder: str) -> bool:

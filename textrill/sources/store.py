@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,11 +134,18 @@ class Store:
     def _write(self, tables: dict[str, DataFrame], base: str) -> int:
         """Writes a segment with the index derived from its documents; returns how many there are."""
         tables["documents"].write.parquet(f"{base}/documents")
-        tables["access"].dropDuplicates(["doc_id", "token"]).sortWithinPartitions("token", "doc_id").write.parquet(f"{base}/access")
-        tables["tags"].sortWithinPartitions("kind", "value", "doc_id").write.parquet(f"{base}/tags")
         written = self.spark.read.schema(schemas.DOCUMENTS).parquet(f"{base}/documents")
-        index.write(written, base)
-        return written.count()
+        # independent of each other, so their jobs share the cluster
+        with ThreadPoolExecutor(4) as pool:
+            jobs = [
+                pool.submit(tables["access"].dropDuplicates(["doc_id", "token"]).sortWithinPartitions("token", "doc_id").write.parquet, f"{base}/access"),
+                pool.submit(tables["tags"].sortWithinPartitions("kind", "value", "doc_id").write.parquet, f"{base}/tags"),
+                pool.submit(index.write_postings, written, base),
+                pool.submit(index.write_stats, written, base),
+            ]
+            for job in jobs:
+                job.result()
+        return self.spark.read.schema(schemas.DOC_STATS).parquet(f"{base}/doc_stats").count()
 
     def _compacted(self, pointer: dict) -> dict:
         """All segments as one, without the dead; postings are carried over, not made again."""
