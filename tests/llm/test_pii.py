@@ -69,13 +69,18 @@ FAMILY = ["Nablosk", "Havnést", "Croflosk", "Zorvibch", "Murtiù", "Quinmox", "
 PLACES = ["Morsubosc", "Ternanet", "Lamgomar"]
 
 
-def corpus():
+PHRASES = ["Signat: {}.", "Ask for Mrs {} at the front desk.", "{} | 997 951 012", "La tutora és {}.", "{} porta la cadira gran."]
+# said in ways that no list of phrases foresees
+OTHER_PHRASES = ["Clau lliurada a: {}.", "The boiler was checked with Dr {} on site.", "{} | 997 951 012", "Vertreten durch {}.", "{} porta la cadira gran."]
+
+
+def corpus(phrases=PHRASES):
     rng = random.Random(5)
     rows = []
     for i in range(400):
         a, b, c = rng.choice(GIVEN), rng.choice(FAMILY), rng.choice(FAMILY)
         name = rng.choice([f"{a} {b}", f"{a} de {b}", f"{a} {b}-{c}", f"{b.upper()} {a}", f"{b}, {a}", f"{a[0]}. {b}"])
-        line = rng.choice([f"Signat: {name}.", f"Ask for Mrs {name} at the front desk.", f"{name} | 997 951 012", f"La tutora és {name}.", f"{name} porta la cadira gran."])
+        line = rng.choice(phrases).format(name)
         rest = f"La mestra porta la tassa a {rng.choice(PLACES)}. Per a urgències, 991 221 318. El xofer vol la cadira gran a {rng.choice(PLACES)}."
         text = f"{rest}\n{line}"
         low = i % 6 == 0
@@ -83,8 +88,9 @@ def corpus():
     return rows
 
 
-def test_names_in_a_corpus(spark):
-    rows = corpus()
+@pytest.mark.parametrize("phrases", [PHRASES, OTHER_PHRASES])
+def test_names_in_a_corpus(spark, phrases):
+    rows = corpus(phrases)
     df = spark.createDataFrame([*rows, (1000, None, ""), (1001, "", "")], "id long, t string, kind string")
     terms = P.materialize(P.disclosing_terms(P.materialize(P.term_statistics(df, "t"), "s")), "t")
     found = {r["term"] for r in terms.collect()}
@@ -124,3 +130,32 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("number", ["2 85 05 2A 123 456 78", "2 85 05 2B 123 456", "185052A12345678", "185052b123456"])
 def test_identity_with_a_lettered_department(number):
     assert kinds(f"The form names document {number} as proof.") == [("identity", number)]
+
+
+def test_broadcast_and_join_learn_the_same(spark):
+    df = spark.createDataFrame([r[:2] for r in corpus()], "id long, t string")
+    people = spark.createDataFrame([(f"{a} {b}",) for a, b in zip(GIVEN[:6], FAMILY[:6])], "name string")
+    a = sorted(map(tuple, P.term_statistics(df, "t", people).collect()))
+    assert a == sorted(map(tuple, P.term_statistics(df, "t", people, broadcast_terms=-1).collect()))
+    assert {"mrs", "for", "tutora"} & {r[0] for r in a if r[-1]} == {"for", "tutora"}
+
+
+def test_terms_that_give_one_entity_away(spark):
+    rows = [(i, f"Avisos del dia {i}. Truqueu al rellotger {'991 221 318' if i % 4 == 0 else '991 555 101'} pel {'carilló' if i % 4 == 0 else 'timbre'} avariat. La porta és tancada.") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    statistics = P.materialize(P.term_statistics(df, "t"), "s")
+    terms = P.materialize(P.disclosing_terms(statistics), "t")
+    got = {(r["entity"], r["term"]) for r in P.entity_disclosures(df, "id", "t", terms, statistics).collect()}
+    assert ("991221318", "carilló") in got and ("991555101", "timbre") in got
+    assert not any(t in ("porta", "rellotger", "truqueu") for _, t in got)
+
+
+@pytest.mark.parametrize("text", ["\n".join(f"Telèfon: 991 {i % 900 + 100} {i * 7 % 900 + 100}." for i in range(20_000)), "Straße Signat: Isbéi Nablosk. æ\n" * 20_000, "x" * 2_000_000, "aB3+/" * 400_000])
+def test_long_texts_take_one_scan(text):
+    import time
+
+    names = P.Names({"isbei": 2, "isbéi": 2, "nablosk": -2})
+    started = time.time()
+    P.pieces(text, names)
+    list(P._contexts(text, {}))
+    assert time.time() - started < 10

@@ -1,26 +1,30 @@
 """Personal information inside free text (problem 2).
 
-Two parts find the pieces:
-
-* E-mail addresses, phone numbers, identity numbers and street addresses have
-  forms of their own and are found by their grammars.
-* Names have none. Information-theoretic sanitisation finds them: over all rows
-  it is counted how often each term stands in a *protected slot* and how often
-  at all. Slots are what follows a cue (a signature, "ask for"), what stands
-  beside an address or number in a list, and, as weaker ones, runs of capitalised
-  words. A term's disclosure is its pointwise mutual information with the slot,
-
-      log2( P(term | slot) / P(term) )   bits,
-
-  that is, how strongly the term gives a protected person away. Terms with at
-  least ``DISCLOSURE`` of the bits that certainty would give, -log2 P(slot), are
-  removed wherever they stand, in slots or not, together with the particles and
-  initials that tie them into one name. Which of given name and surname a term
-  is, follows from its places in slots. Texts without capitals are counted apart
-  and decide only about terms that no other text has.
-
-The lexicon of disclosing terms grows with the corpus. It is broadcast only up
-to ``BROADCAST_TERMS`` terms; beyond, each row is joined with just its own terms.
+Grammars give the *protected entities* that have a form of their own: e-mail
+addresses, phone numbers, identity numbers and street addresses. People have none,
+so information-theoretic sanitisation finds what discloses them, from co-occurrence
+over all rows. A *disclosure* is the pointwise mutual information of an observation
+with a protected entity as a share of the bits that certainty would give,
+
+    log2( P(entity | observation) / P(entity) ) / -log2 P(entity).
+
+1. *Contexts*: the two tokens before a word. Of each context that stands before
+   ``LEAST_NAMES`` or more different names of protected people (a given list, or what
+   stands beside addresses and numbers), it is counted how often it occurs and how
+   often such a name follows. Contexts that disclose a person by ``CONTEXT_SHARE``
+   ("signed :", "ask for", in whatever language and wording the corpus has) open slots.
+2. *Terms*: how often each term stands in a slot, beside an address or number in a
+   list, or, as a weaker sign, in a run of capitalised words, and how often at all.
+   Terms that disclose a person by ``DISCLOSURE`` are removed wherever they stand, in
+   slots or not, together with the particles and initials that tie them into one name.
+   Which of given name and surname a term is, follows from its places in slots. Texts
+   without capitals are counted apart and decide only about terms that no other text has.
+3. *Other terms of an entity* (``entity_disclosures``): terms in the window of a piece
+   that give this one entity away, as the name of a flat or a post may. They are
+   reported; the texts keep them, as problem 2 of the test tables asks.
+
+Contexts, protected names and disclosing terms grow with the corpus. They are
+broadcast only up to ``BROADCAST_TERMS`` rows; beyond, they are joined.
 
 Null and empty texts hold nothing. Texts with look-alike, full-width or invisible
 characters are searched in plain form; pieces are reported as stored.
@@ -29,10 +33,10 @@ characters are searched in plain form; pieces are reported as stored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
-from functools import lru_cache
+from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +45,9 @@ from textrill.llm import canonical
 from textrill.llm.common import fold, materialize, spread, table
 
 DISCLOSURE = 0.85
+CONTEXT_SHARE = 0.7
+LEAST_NAMES = 5
+WINDOW = 12
 BROADCAST_TERMS = 500_000
 KINDS = ("person", "email", "phone", "identity", "address")
 
@@ -102,15 +109,6 @@ _TYPE_BEFORE = re.compile(rf"(?:(?<!\w)(?:{TYPE_FIRST})|(?:{TYPE_GERMAN}))(?!\w)
 _RUN = re.compile(r"\d(?: ?2[ABab](?= ?\d)|[ .\-/()]{0,3}\d){5,}")
 _DATE = re.compile(r"\d{4}-\d\d-\d\d|\d{1,2}([/.])\d{1,2}\1\d{4}")
 
-# What announces a person, lower-case without accents, in the languages in use.
-CUES = (
-    "signat:", "firmado:", "signed:", "gezeichnet:", "unterzeichnet:", "signe :", "signe:", "firma:", "signatura:", "atentament:", "atentamente:", "sincerely:",
-    "hi assisteixen", "hi assisteix", "asisten", "asiste", "present were", "sont presents", "est present", "anwesend sind",
-    "la tutora es", "el tutor es", "the tutor is", "la tutrice est", "le tuteur est", "die tutorin ist", "der tutor ist",
-    "pregunteu per", "pregunten por", "ask for", "demandez", "fragen sie nach",
-)
-_CUE_WORDS = frozenset(w for cue in CUES for w in re.findall(r"[^\W\d_]+", cue))
-
 # Forms of address and words that end a slot; particles inside names.
 TITLES = frozenset(
     "sr sra srta dr dra mr mrs ms miss mx herr herrn frau fraulein docteur doktor professorin senorita senyoreta maitre maestro maestra mestre mestra m mme mlle me don dona dna d professor professora profesor profesora senyor senyora senor senora professeur professeure monsieur madame mademoiselle prof doctor doctora lehrer lehrerin el la le en na al dem der die das the".split()
@@ -125,18 +123,21 @@ FUNCTION = frozenset("el la els les los las lo un una uno unos unas l en na le d
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(1)
-def _cue_finder():
-    finder = ahocorasick.Automaton()
-    for cue in CUES:
-        finder.add_word(f"{cue} ", len(cue) + 1)
-    finder.make_automaton()
-    return finder
+class _Taken:
+    """Pieces without overlap, in order of their start; asking and adding cost a search, not a scan."""
+
+    def __init__(self, pieces=()):
+        self.pieces: list[tuple[int, int, str]] = sorted(pieces)
 
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_left(self.pieces, (end,))
+        return i == 0 or self.pieces[i - 1][1] <= start
 
-def _cue_ends(low: str) -> list[int]:
-    """Where the cues of a folded text end."""
-    return [end + 1 for end, n in _cue_finder().iter(low) if not low[end - n : end - n + 1].isalnum()]
+    def add(self, piece: tuple[int, int, str]) -> bool:
+        if not self.free(piece[0], piece[1]):
+            return False
+        insort(self.pieces, piece)
+        return True
 
 
 def _emails(text: str) -> list[tuple[int, int, str]]:
@@ -152,7 +153,7 @@ def _emails(text: str) -> list[tuple[int, int, str]]:
 
 def _numbers(text: str, both: bool = True) -> list[tuple[int, int, str]]:
     """Identity and phone numbers, each looked for around long runs of digits."""
-    out: list[tuple[int, int, str]] = []
+    out = _Taken()
     for run in _RUN.finditer(text):
         if _DATE.fullmatch(run.group()):
             continue
@@ -160,9 +161,9 @@ def _numbers(text: str, both: bool = True) -> list[tuple[int, int, str]]:
         for pattern, kind in ((IDENTITY, "identity"), (PHONE, "phone")) if both else ((PHONE, "phone"),):
             for m in pattern.finditer(text, lo, hi):
                 # the pattern must also hold where the window does not end the text
-                if all(m.end() <= a or m.start() >= b for a, b, _ in out) and pattern.match(text, m.start()) and pattern.match(text, m.start()).end() == m.end():
-                    out.append((*m.span(), kind))
-    return out
+                if out.free(*m.span()) and (whole := pattern.match(text, m.start())) and whole.end() == m.end():
+                    out.add((*m.span(), kind))
+    return out.pieces
 
 
 def _addresses(text: str) -> list[tuple[int, int, str]]:
@@ -183,12 +184,11 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
 
 def _grammar(text: str) -> list[tuple[int, int, str]]:
     """Non-overlapping pieces of the kinds with a form of their own, in the order e-mail, address, identity, phone."""
-    out: list[tuple[int, int, str]] = []
+    out = _Taken()
     for find in (_emails, _addresses, _numbers):
         for piece in find(text):
-            if all(piece[1] <= a or piece[0] >= b for a, b, _ in out):
-                out.append(piece)
-    return sorted(out)
+            out.add(piece)
+    return out.pieces
 
 
 _STEP = re.compile(r"[^\W\d_]+|\S|\s+")
@@ -277,51 +277,156 @@ def plain_form(text: str) -> tuple[str, list[int] | None]:
 _CAP = "[A-ZÀ-ÖØ-Þ][^\\W\\d_]{2,}"
 _CAPITALS = re.compile(rf"(?<![\w'’@./&«-])(?:{_CAP}|[A-ZÀ-Þ]\.)(?:[ -]{_CAP}| (?:de|von|van|di|da|del|d['’]) ?{_CAP})+(?![\w@])")
 STATISTICS = ("n", "lower", "slots", "pairs", "given", "surname", "plain_n", "plain_slots")
+_COUNTS = (*STATISTICS, "total", "first")
+_CONTEXT_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
+
+
+def _contexts(text: str, folded: dict[str, str]) -> Iterator[tuple[int, str, str]]:
+    """(start, folded word, context) of the words that do not begin a sentence; forms of address and initials are looked through."""
+    a = b = "\n"
+    skipped = False
+    for m in _CONTEXT_TOKEN.finditer(text):
+        t = m.group()
+        f = folded.get(t)
+        if f is None:
+            f = fold(t) or t  # a lone accent folds to nothing
+            if len(folded) < 400_000:
+                folded[t] = f
+        if f[0].isalpha():
+            if len(f) == 1 or f in TITLES:
+                skipped = True
+                continue
+            if b[0].isalpha() or b == ":":
+                yield m.start(), f, f"{a} {b}"
+        elif f == "." and skipped:
+            continue
+        skipped = False
+        a, b = b, f
+
+
+def _few(rows: DataFrame, column: str, most: int):
+    """A broadcast set of the values of a column, or None where there are more than ``most`` of them."""
+    values = rows.select(column).distinct()
+    if values.count() > most:
+        return None
+    return rows.sparkSession.sparkContext.broadcast({r[0] for r in values.collect()})
+
+
+def protected_names(docs: DataFrame, column: str, people: DataFrame | None) -> DataFrame:
+    """(term): words of the names of protected people, folded; without a list, what stands beside addresses and numbers twice or more."""
+
+    def listed(batches):
+        for batch in batches:
+            terms = {fold(w) for name in batch.column(0).to_pylist() if name for w in _TOKEN.findall(name) if len(w) > 2 and (w[0].isupper() or name.islower())} - TITLES - PARTICLES
+            yield pa.RecordBatch.from_pydict({"term": pa.array(sorted(terms), pa.string()), "n": pa.array([2] * len(terms), pa.int64())})
+
+    def beside(batches):
+        seen = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    text, _ = plain_form(text)
+                    for s, _, _ in (*_emails(text), *_numbers(text, both=False)):
+                        seen.update(f for w in _slot_before(text, s, text != text.lower()) if len(f := fold(w)) > 2 and f not in TITLES and f not in PARTICLES)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    rows = people.select(people.columns[0]).mapInArrow(listed, "term string, n long") if people is not None else spread(docs.select(column)).mapInArrow(beside, "term string, n long")
+    return rows.groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1").select("term")
+
+
+def candidate_contexts(docs: DataFrame, column: str, names: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """(context): what stands before ``LEAST_NAMES`` or more different protected names."""
+    shared = _few(names, "term", broadcast_terms)
+
+    def run(batches):
+        wanted, seen, folded = shared.value if shared else None, Counter(), {}
+
+        def flush():
+            keys = list(seen)
+            yield pa.RecordBatch.from_pydict({"context": pa.array([k[0] for k in keys], pa.string()), "term": pa.array([k[1] for k in keys], pa.string())})
+            seen.clear()
 
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if not text:
+                    continue
+                text, _ = plain_form(text)
+                if wanted is not None and wanted.isdisjoint(map(fold, set(_TOKEN.findall(text)))):
+                    continue
+                for _, word, context in _contexts(text, folded):
+                    if wanted is None or (word in wanted and context.partition(" ")[2] not in wanted):
+                        seen[context, word] = 1
+                if len(seen) > 300_000:
+                    yield from flush()
+        yield from flush()
 
-def term_statistics(docs: DataFrame, column: str, people: DataFrame | None = None) -> DataFrame:
-    """(term, *STATISTICS) over all rows, the totals under term ''.
+    rows = spread(docs.select(column)).mapInArrow(run, "context string, term string").distinct()
+    if shared is None:
+        last = names.select(F.col("term").alias("last"))
+        rows = rows.join(names, "term", "left_semi").withColumn("last", F.substring_index("context", " ", -1)).join(last, "last", "left_anti")
+    return rows.groupBy("context").agg(F.count("*").alias("names")).filter(F.col("names") >= LEAST_NAMES).select("context")
+
+
+def term_statistics(docs: DataFrame, column: str, people: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """(term, *STATISTICS, cue) over all rows, the totals under term ''.
 
     Of texts with capitals: ``n`` occurrences, ``lower`` those in lower case, ``slots`` those in
-    protected slots, ``pairs`` those in runs of capitalised words. ``given`` and ``surname``: roles
-    in slots. ``plain_n`` and ``plain_slots``: the same of texts without capitals. Counted per task
-    before the shuffle.
+    slots of disclosing contexts and beside addresses and numbers, ``pairs`` those in runs of
+    capitalised words. ``given`` and ``surname``: roles in slots. ``plain_n`` and ``plain_slots``: the
+    same of texts without capitals. ``cue``: in how many disclosing contexts the term is a word.
+    Counted per task before the shuffle.
     """
+    names = materialize(protected_names(docs, column, people), "p2-names")
+    candidates = materialize(candidate_contexts(docs, column, names, broadcast_terms), "p2-candidates")
+    shared = _few(candidates, "context", broadcast_terms)
 
     def run(batches):
-        words, c = (Counter(), Counter()), {k: Counter() for k in STATISTICS}
+        wanted, folded = shared.value if shared else None, {}
+        words, c = (Counter(), Counter()), {}
+
+        def counters(context):
+            if context not in c:
+                c[context] = {k: Counter() for k in _COUNTS}
+            return c[context]
 
         def flush():
+            own = counters("")
             for w, n in words[0].items():
                 for t in _forms(w):
-                    c["n"][t] += n
+                    own["n"][t] += n
                     if w[0].islower():
-                        c["lower"][t] += n
+                        own["lower"][t] += n
             for w, n in words[1].items():
                 for t in _forms(w):
-                    c["plain_n"][t] += n
-            for k in ("slots", "pairs", "plain_slots"):
-                c[k][""] = sum(c[k].values())
-            c["n"][""], c["plain_n"][""] = sum(words[0].values()), sum(words[1].values())
-            terms = list(set().union(*c.values()))
-            yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), **{k: pa.array([v[t] for t in terms], pa.int64()) for k, v in c.items()}})
-            for counter in (*words, *c.values()):
-                counter.clear()
+                    own["plain_n"][t] += n
+            own["n"][""], own["plain_n"][""] = sum(words[0].values()), sum(words[1].values())
+            rows = [(context, t, counts) for context, counts in c.items() for t in set().union(*counts.values())]
+            yield pa.RecordBatch.from_pydict({"context": pa.array([r[0] for r in rows], pa.string()), "term": pa.array([r[1] for r in rows], pa.string()), **{k: pa.array([r[2][k][r[1]] for r in rows], pa.int64()) for k in _COUNTS}})
+            words[0].clear()
+            words[1].clear()
+            c.clear()
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
                 text, _ = plain_form(text)
-                low = fold(text)
                 cased = text != text.lower()
-                same = len(low) == len(text)
                 slot = "slots" if cased else "plain_slots"
-                found = [(_slot_after(text, end if same else _offset(text, low, end), cased), slot) for end in _cue_ends(low)]
+                for at, word, context in _contexts(text, folded):
+                    if wanted is None or context in wanted:
+                        mine = counters(context)
+                        mine["total"][""] += 1
+                        mine["first"][word] += 1
+                        _count_name(mine, _slot_after(text, at, cased), slot)
                 mails = _emails(text)
-                found += [(_slot_before(text, s, cased), slot) for s, _, _ in (*mails, *_numbers(text, both=False))]
-                for s, e, _ in reversed(mails):  # parts of addresses are no occurrences of a term
-                    text = f"{text[:s]} {text[e:]}"
+                for s, _, _ in (*mails, *_numbers(text, both=False)):
+                    _count_name(counters(""), _slot_before(text, s, cased), slot)
+                kept, at = [], 0
+                for s, e, _ in mails:  # parts of addresses are no occurrences of a term
+                    kept += [text[at:s], " "]
+                    at = e
+                text = "".join([*kept, text[at:]])
                 words[not cased].update(_TOKEN.findall(text))
                 if cased:
                     for m in _CAPITALS.finditer(text):
@@ -330,22 +435,39 @@ def term_statistics(docs: DataFrame, column: str, people: DataFrame | None = Non
                         if run_ and fold(run_[0]) in FUNCTION:
                             run_ = run_[1:]
                         if len(run_) > 1:
-                            found.append((run_, "pairs"))
-                for name, kind in found:
-                    _count_name(c, name, kind)
+                            _count_name(counters(""), run_, "pairs")
             if len(words[0]) + len(words[1]) > 300_000:
                 yield from flush()
         yield from flush()
 
-    counted = spread(docs.select(column)).mapInArrow(run, "term string, " + ", ".join(f"{k} long" for k in STATISTICS))
+    columns = ", ".join(f"{k} long" for k in _COUNTS)
+    counted = spread(docs.select(column)).mapInArrow(run, f"context string, term string, {columns}").groupBy("context", "term").agg(*[F.sum(k).alias(k) for k in _COUNTS])
+    if shared is None:
+        counted = counted.join(candidates.unionByName(candidates.sparkSession.createDataFrame([("",)], "context string")), "context", "left_semi")
+    counted = materialize(counted, "p2-counted")
+    contexts = disclosing_contexts(counted, names)
+    chosen = counted.join(contexts.select("context").unionByName(contexts.sparkSession.createDataFrame([("",)], "context string")), "context", "left_semi")
+    rows = chosen.filter("context = '' OR term <> ''").select("term", *STATISTICS, F.lit(0).cast("long").alias("cue"))
+    rows = rows.unionAll(contexts.select(F.explode(F.split("context", " ")).alias("term"), *[F.lit(0).cast("long").alias(k) for k in STATISTICS], F.lit(1).cast("long").alias("cue")))
     if people is not None:
-        counted = counted.unionAll(entity_statistics(people, people.columns[0]))
-    return counted.groupBy("term").agg(*[F.sum(k).alias(k) for k in STATISTICS])
+        rows = rows.unionAll(entity_statistics(people, people.columns[0]).withColumn("cue", F.lit(0).cast("long")))
+    return rows.groupBy("term").agg(*[F.sum(k).alias(k) for k in (*STATISTICS, "cue")])
+
+
+def disclosing_contexts(counted: DataFrame, names: DataFrame, share: float = CONTEXT_SHARE) -> DataFrame:
+    """(context, total, people): the contexts that disclose a protected person by ``share`` or more."""
+    own = counted.filter("context = ''")
+    seen = own.filter("term = ''").agg(F.sum(F.col("n") + F.col("plain_n"))).first()[0] or 0
+    people = own.join(names, "term", "left_semi").agg(F.sum(F.col("n") + F.col("plain_n"))).first()[0] or 0
+    prior = min(max(people, 1) / max(seen, 2), 0.5)
+    total = counted.filter("context <> '' AND term = ''").select("context", "total")
+    followed = counted.filter("context <> '' AND first > 0").join(names, "term", "left_semi").groupBy("context").agg(F.sum("first").alias("people"))
+    return total.join(followed, "context").filter(F.log2(F.col("people") / F.col("total") / F.lit(prior)) >= share * -F.log2(F.lit(prior)))
 
 
 def _count_name(counters: dict[str, Counter], name: list[str], kind: str) -> None:
     for w, role in _roles(name) if name else ():
-        if len(w) < 3 or fold(w) in TITLES or fold(w) in PARTICLES or fold(w) in _CUE_WORDS:
+        if len(w) < 3 or fold(w) in TITLES or fold(w) in PARTICLES:
             continue
         for t in _forms(w):
             counters[kind][t] += 1
@@ -377,18 +499,6 @@ def _forms(word: str) -> tuple[str, ...]:
     return (low,) if low == plain else (low, plain)
 
 
-def _offset(text: str, low: str, at: int) -> int:
-    """Where position ``at`` of the folded text lies in the text (folding ß and ligatures lengthens it)."""
-    lo, hi = 0, len(text)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if len(fold(text[:mid])) < at:
-            lo = mid + 1
-        else:
-            hi = mid
-    return lo
-
-
 def disclosing_terms(statistics: DataFrame, share: float = DISCLOSURE) -> DataFrame:
     """(term, role, bits) of the terms that disclose a person.
 
@@ -396,12 +506,13 @@ def disclosing_terms(statistics: DataFrame, share: float = DISCLOSURE) -> DataFr
     of capitals named the person, so that the term alone is enough. A term mostly written in lower
     case where texts have capitals is no name.
     """
-    totals = statistics.filter("term = ''").first()
-    seen = (totals["n"] or 0) + (totals["plain_n"] or 0) if totals else 0
-    slots = sum(totals[k] or 0 for k in ("slots", "pairs", "plain_slots")) if totals else 0
+    totals = statistics.agg(F.sum(F.when(F.col("term") == "", F.col("n") + F.col("plain_n"))), *[F.sum(F.when(F.col("term") != "", F.col(k))) for k in ("slots", "pairs", "plain_slots")]).first()
+    seen, slots = totals[0] or 0, sum(x or 0 for x in totals[1:])
     prior = F.lit(min(max(slots, 1) / max(seen, 2), 0.5))
     rows = statistics.filter("term <> '' AND slots + pairs + plain_slots > 0")
-    in_slot = F.when(F.col("n") > 0, F.least(F.col("slots") + F.col("pairs"), "n") / F.col("n")).otherwise(F.least("plain_slots", "plain_n") / F.col("plain_n"))
+    # what announces names stands at their beginning in runs of capitals, but in no slot itself
+    rows = rows.filter("cue = 0 OR slots + plain_slots >= 0.1 * (n + plain_n)")
+    in_slot = F.when(F.col("n") > 0, F.least(F.col("slots") + F.col("pairs"), "n") / F.col("n")).otherwise(F.least("plain_slots", "plain_n") / F.greatest("plain_n", F.lit(1)))
     scored = rows.withColumn("bits", F.log2(in_slot / prior)).withColumn("full", -F.log2(prior))
     named = F.col("slots") + F.col("plain_slots")
     strong = F.when((named > 1) | ((named == 1) & (F.col("n") + F.col("plain_n") <= 3)), 2).otherwise(1)
@@ -430,8 +541,9 @@ class Names:
             return []
         tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
         roles = [self.role(w) for _, _, w in tokens]
+        held = _Taken(taken)
         for i, (s, e, _) in enumerate(tokens):
-            if roles[i] and any(s < b and e > a for a, b, _ in taken):
+            if roles[i] and not held.free(s, e):
                 roles[i] = 0
         out, i = [], 0
         while i < len(tokens):
@@ -564,10 +676,45 @@ def with_names(docs: DataFrame, key: str, column: str, terms: DataFrame, emit, s
     return joined.mapInArrow(run_own, schema)
 
 
-def _terms(spark, sf_dir) -> DataFrame:
+def entity_disclosures(docs: DataFrame, key: str, column: str, terms: DataFrame, statistics: DataFrame, share: float = DISCLOSURE, least: int = 3) -> DataFrame:
+    """(kind, entity, term, together, disclosure): terms within ``WINDOW`` words of a piece that give away this entity.
+
+    Disclosure as above, of the entity (a piece's value) by the term, over all rows. Terms that
+    are part of a name are left out, as they are removed anyway.
+    """
+
+    def emit(i, text, names):
+        if not text:
+            return []
+        seen = Counter()
+        tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
+        starts = [t[0] for t in tokens]
+        for s, e, kind in pieces(text, names):
+            value = value_of(text[s:e])
+            lo, hi = bisect_left(starts, s), bisect_right(starts, e)
+            near = {w.lower() for _, _, w in (*tokens[max(0, lo - WINDOW) : lo], *tokens[hi : hi + WINDOW]) if len(w) > 2 and not names.role(w)}
+            seen[kind, value, ""] += 1
+            seen.update((kind, value, w) for w in near)
+        return [(*k, n) for k, n in seen.items()]
+
+    pairs = with_names(docs, key, column, terms, emit, "kind string, entity string, term string, n long").groupBy("kind", "entity", "term").agg(F.sum("n").alias("together"))
+    pairs = materialize(pairs, "p2-pairs")
+    known = statistics.select("term", (F.col("n") + F.col("plain_n")).alias("occurs"))
+    tokens = known.filter("term = ''").agg(F.sum("occurs")).first()[0] or 2
+    often = pairs.filter(F.col("together") >= least)
+    entities = often.filter("term = ''").select("kind", "entity", (F.col("together") / F.lit(tokens)).alias("prior"))
+    joined = often.filter("term <> ''").join(known, "term").join(entities, ["kind", "entity"])
+    bits = F.log2(F.least(F.col("together") / F.col("occurs"), F.lit(1.0)) / F.col("prior")) / -F.log2("prior")
+    return joined.withColumn("disclosure", bits).filter(F.col("disclosure") >= share).select("kind", "entity", "term", "together", "disclosure")
+
+
+def _statistics(spark, sf_dir) -> DataFrame:
     docs, people = table(spark, sf_dir, "index_documents"), table(spark, sf_dir, "accounts")
-    statistics = materialize(term_statistics(docs, "content_norm", people.select("display_name")), "p2-statistics")
-    return materialize(disclosing_terms(statistics), "p2-terms")
+    return materialize(term_statistics(docs, "content_norm", people.select("display_name")), "p2-statistics")
+
+
+def _terms(spark, sf_dir) -> DataFrame:
+    return materialize(disclosing_terms(_statistics(spark, sf_dir)), "p2-terms")
 
 
 def p2_found(spark, sf_dir):
@@ -589,3 +736,9 @@ def p2_sanitised(spark, sf_dir):
 def p2_terms(spark, sf_dir):
     """The disclosing terms with their bits."""
     return _terms(spark, sf_dir)
+
+
+def p2_disclosures(spark, sf_dir):
+    """Terms that, though no part of a piece, give one entity away."""
+    statistics = _statistics(spark, sf_dir)
+    return entity_disclosures(table(spark, sf_dir, "index_documents"), "id", "content_norm", materialize(disclosing_terms(statistics), "p2-terms"), statistics)

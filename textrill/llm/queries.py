@@ -13,6 +13,7 @@ def queries() -> dict:
         "p2_found": pii.p2_found,
         "p2_sanitised": pii.p2_sanitised,
         "p2_terms": pii.p2_terms,
+        "p2_disclosures": pii.p2_disclosures,
         "p3_found": repair.p3_found,
         "p3_repaired": repair.p3_repaired,
         "p4_found": repair.p4_found,
