@@ -147,7 +147,7 @@ def test_terms_that_give_one_entity_away(spark):
     terms = P.materialize(P.disclosing_terms(statistics), "t")
     got = {(r["entity"], r["term"]) for r in P.entity_disclosures(df, "id", "t", terms, statistics).collect()}
     assert ("991221318", "carilló") in got and ("991555101", "timbre") in got
-    assert not any(t in ("porta", "rellotger", "truqueu") for _, t in got)
+    assert not any(e == "991221318" and t in ("porta", "rellotger", "truqueu") for e, t in got)
 
 
 @pytest.mark.parametrize("text", ["\n".join(f"Telèfon: 991 {i % 900 + 100} {i * 7 % 900 + 100}." for i in range(20_000)), "Straße Signat: Isbéi Nablosk. æ\n" * 20_000, "x" * 2_000_000, "aB3+/" * 400_000])
