@@ -61,3 +61,23 @@ def test_table(spark):
 def test_invisible_characters_of_the_last_planes():
     for c in ("\U000e0001", "\U000e0041", "\U000e007f", "\U000e0100", "\U000e01ef"):
         assert C.canonicalize(f"ca{c}fé") == ("café", ("invisible",))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["x" * 2_000_000, "x" * 2_000_000 + "\xa0", "aB3+/" * 400_000 + "é", "é" * 1_000_000, "é" * 500_000, "a​" * 500_000, "abсd" * 250_000, "́" * 500_000],
+)
+def test_long_texts_take_two_scans(text):
+    import time
+
+    started = time.time()
+    C.canonicalize(text)
+    C.letters_map(text)
+    assert time.time() - started < 20
+
+
+def test_boundary_context_and_look_alikes_with_accents():
+    assert C.canonicalize("cafe​́ x") == ("café x", ("decomposed", "invisible"))
+    assert C.canonicalize("pάhа")[0] == "páha"  # Greek alpha with tonos, Cyrillic a
+    assert C.canonicalize("aжb") == ("aжb", ("foreign_letter",))  # looks like no Latin letter: told and kept
+    assert C.canonicalize("а́bc")[0] == "ábc"

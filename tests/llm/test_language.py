@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,19 @@ def test_short_sentences_count_where_the_model_is_sure():
     assert [p[2] for p in L.surest_passages(Fixed(), before + "See english 12 of ann@b.org today.")] == ["ca", "en"]
     for other in ("Perhaps english here.", "english heading here", "English words."):
         assert [p[2] for p in L.surest_passages(Fixed(), before + other)] == ["ca"]
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "aB3+/" * 200_000, "é" * 500_000, "»" * 500_000, "(" * 500_000, "ab (at) c " * 100_000])
+def test_long_texts_take_one_scan(text):
+    import time
+
+    model = L.Model(["a", "b"], np.zeros((L.BUCKETS, 2)), np.ones(L.BUCKETS))
+    started = time.time()
+    L.passages(model, text)
+    assert time.time() - started < 10
+
+
+def test_codes_are_no_words():
+    assert L._spoken("La «Casa 3» és a_b@c.d o x(at)y, sala 12b, (atenció) [at] fi") == ["la", "és", "o", "sala", "atenció", "fi"]
+    word = "ab" * 300
+    assert sorted(L.grams(word)) == sorted(L.grams.__wrapped__(word)) if hasattr(L.grams, "__wrapped__") else len(L.grams(word)) == sum(len(word) + 2 - n + 1 for n in L.ORDERS) - 2

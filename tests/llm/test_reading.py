@@ -58,3 +58,29 @@ def test_too_many_graded_passages_are_refused(spark, monkeypatch):
     monkeypatch.setattr(R, "MAX_GRADED", 5)
     with pytest.raises(ValueError, match="more than 5"):
         R.p8_levels(spark, "/root/testdata/sf0.001")
+
+
+def test_rounds_converge_to_one_scale(spark, fitted):
+    """More rounds than the tolerance asks for change next to nothing, and graded passages stay on their levels."""
+    refs = [(r["lang"], r["text"], r["level"]) for r in spark.read.parquet(f"{DATA}/reading_refs.parquet").collect() if r["ref_id"] % 4]
+    cut = R.materialize(R.cut_into_items(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id", "text"), "cut")
+    old, R.TOLERANCE = R.TOLERANCE, 0.0
+    try:
+        more = R.fit(cut, refs, most_rounds=6)
+    finally:
+        R.TOLERANCE = old
+    model, held = fitted
+    assert np.abs(more.cuts - model.cuts).max() < 0.1
+    df = spark.createDataFrame([(r[0], r[2]) for r in held], "id long, t string")
+    items = R.materialize(R.cut_into_items(df, "id", "t"), "held")
+    a, b = ({r["id"]: r["latent"] for r in R.graded_levels(items, "id", m).collect()} for m in (model, more))
+    assert np.mean([abs(a[k] - b[k]) for k in a]) < 0.1
+
+
+@pytest.mark.parametrize("text", ["x" * 2_000_000, "aB3+/" * 400_000, "é" * 1_000_000, "ab " * 500_000])
+def test_long_texts_take_one_scan(text):
+    import time
+
+    started = time.time()
+    R.items_of(text, {})
+    assert time.time() - started < 10

@@ -13,31 +13,39 @@ it is where the model's expected slope equals that mean.
 Estimation alternates. Graded passages start it at their known levels. Then
 (a) every document of the corpus gets its level from the current items, and (b)
 every item is re-estimated from its counts over all documents by level, graded
-passages included with a fixed weight. Both steps are distributed: documents are
-cut into items once, counts are added up in each task, and only one counter for
-each (item bucket, level bin) reaches the driver, ``ITEMS * BINS`` numbers per
-language at most, whatever the size of the corpus. Cut points between levels are
-those of the graded passages.
+passages included with a fixed weight. A Rasch scale is free in shift and unit; both
+are fixed after each round so that graded passages lie on their levels, without which
+the alternation would drift. It ends when the levels of graded passages move by less
+than ``TOLERANCE`` on average.
+
+Both steps are distributed: documents are cut into items once, counts by level are
+added up in each task, and each item is estimated where its counts are. Only two
+numbers for each item bucket reach the driver, ``ITEMS`` buckets a language at most,
+whatever the size of the corpus. Cut points between levels are those of the graded passages.
 
 Null, empty and word-less texts have level null. Texts are read whole.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrill.llm.common import materialize, spread, table
 
+log = logging.getLogger(__name__)
 ITEMS = 1 << 16
 BINS = 17
 GRID = np.linspace(-4, 4, BINS)
-ROUNDS = 2
+TOLERANCE = 0.02
+MOST_ROUNDS = 20
 REF_SHARE = 0.5
 RIDGE = 1.0
 LEAST_WORDS = 30
@@ -94,10 +102,10 @@ class Model:
         self.fine = np.linspace(-5, 5, 401)
         self.curve = np.zeros((len(langs), 401))
         self.cuts = np.array([-1.5, -0.5, 0.5, 1.5])
+        # the latent scale is free in shift and unit; graded passages fix both
+        self.shift, self.unit = 0.0, 1.0
 
-    def set_items(self, k: int, counts: np.ndarray, levels: np.ndarray) -> None:
-        at = np.flatnonzero(counts.sum(1) > 0)
-        easy, slope = estimate(counts[at], counts.sum(0) + 1e-9, levels)
+    def set_items(self, k: int, at: np.ndarray, easy: np.ndarray, slope: np.ndarray) -> None:
         self.slope[k] = 0
         self.known[k] = False
         self.slope[k, at], self.known[k, at] = slope, True
@@ -123,7 +131,7 @@ class Model:
         for k in range(len(self.langs)):
             mine = (lang == k) & (n > 0)
             out[mine] = np.interp(mean[mine], self.curve[k], self.fine)
-        return out
+        return (out - self.shift) / self.unit
 
     def grade(self, latent: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.cuts, latent, side="right") + 1
@@ -157,8 +165,8 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def corpus_counts(cut: DataFrame, model: Model) -> np.ndarray:
-    """Counts (language, item, bin) of all documents at their current levels."""
+def corpus_counts(cut: DataFrame, model: Model) -> DataFrame:
+    """(item, bin, n): counts of all documents at their current levels; item is language * ITEMS + bucket. Materialized."""
     shared = cut.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -175,16 +183,41 @@ def corpus_counts(cut: DataFrame, model: Model) -> np.ndarray:
             at = (np.repeat(lang, n).astype(np.int64) * ITEMS + flat) * BINS + np.repeat(cell, n)
             np.add.at(counts, at[keep], 1)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"item": pa.array(at // BINS, pa.int32()), "bin": pa.array(at % BINS, pa.int32()), "n": pa.array(counts[at].astype(np.float64), pa.float64())})
+
+    # at most languages * ITEMS * BINS rows, from any number of documents
+    return materialize(cut.select("items").mapInArrow(run, "item int, bin int, n double").groupBy("item", "bin").agg(F.sum("n").alias("n")), "p8-counts")
+
+
+def item_step(cells: DataFrame, anchor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket, easiness and slope of the items of each language, estimated where their counts are."""
+    langs = len(anchor)
+    totals = np.zeros((langs, BINS))
+    for r in cells.groupBy(F.floor(F.col("item") / ITEMS).alias("k"), "bin").agg(F.sum("n").alias("n")).collect():  # a row a language and bin
+        totals[r["k"], r["bin"]] = r["n"]
+    weight = np.maximum(REF_SHARE * totals.sum(1) / np.maximum(anchor.sum((1, 2)), 1), 1.0)
+    totals += anchor.sum(1) * weight[:, None]
+    k, item, at = np.nonzero(anchor)
+    graded = pd.DataFrame({"item": (k * ITEMS + item).astype(np.int32), "bin": at.astype(np.int32), "n": anchor[k, item, at] * weight[k]})
+    every = cells.unionByName(cells.sparkSession.createDataFrame(graded, "item int, bin int, n double"))
+    by_item = every.groupBy("item").agg(*[F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(0.0)).alias(f"b{b}") for b in range(BINS)])
 
-    # at most languages * ITEMS * BINS counters, from any number of documents
-    cells = cut.select("items").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(model.langs) * ITEMS * BINS)
-    out[cells["at"].to_numpy()] = cells["n"].to_numpy()
-    return out.reshape(len(model.langs), ITEMS, BINS)
+    def run(batches):
+        for batch in batches:
+            items = batch.column(0).to_numpy()
+            counts = np.stack([batch.column(1 + b).to_numpy() for b in range(BINS)], 1)
+            easy, slope = np.zeros(len(items)), np.zeros(len(items))
+            for lang in np.unique(items // ITEMS):
+                mine = items // ITEMS == lang
+                easy[mine], slope[mine] = estimate(counts[mine], totals[lang] + 1e-9, GRID)
+            yield pa.RecordBatch.from_pydict({"item": pa.array(items, pa.int32()), "easy": pa.array(easy), "slope": pa.array(slope)})
 
+    found = by_item.mapInArrow(run, "item int, easy double, slope double").toPandas()  # at most languages * ITEMS rows
+    language = found["item"].to_numpy() // ITEMS
+    return [(mine["item"].to_numpy() % ITEMS, mine["easy"].to_numpy(), mine["slope"].to_numpy()) for mine in (found[language == i] for i in range(langs))]
 
-def fit(cut: DataFrame, graded: list[tuple[str, str, int]], rounds: int = ROUNDS) -> Model:
+
+def fit(cut: DataFrame, graded: list[tuple[str, str, int]], most_rounds: int = MOST_ROUNDS) -> Model:
     """The model from graded passages (language, text, level) and all documents of ``cut``."""
     langs = sorted({lang for lang, _, _ in graded})
     model = Model(langs)
@@ -195,25 +228,35 @@ def fit(cut: DataFrame, graded: list[tuple[str, str, int]], rounds: int = ROUNDS
         np.add.at(anchor[k, :, int(np.rint((level - 3 - GRID[0]) / (GRID[1] - GRID[0])))], items, 1)
     for k in range(len(langs)):
         model.set_language(k, anchor[k])
-        model.set_items(k, anchor[k], GRID)
+        at = np.flatnonzero(anchor[k].sum(1) > 0)
+        model.set_items(k, at, *estimate(anchor[k, at], anchor[k].sum(0) + 1e-9, GRID))
     flat = np.concatenate([np.array(i, np.int64) for _, i, _ in rows])
     offsets = np.concatenate([[0], np.cumsum([len(i) for _, i, _ in rows])])
     spoken, level = np.array([k for k, _, _ in rows]), np.array([v for _, _, v in rows])
 
-    def recut():
+    def settle() -> np.ndarray:
+        """Fixes the scale and the cut points by the graded passages; returns their levels."""
+        model.shift, model.unit = 0.0, 1.0
+        raw = model.levels(flat, offsets, spoken)
+        good = ~np.isnan(raw)
+        model.unit, model.shift = map(float, np.polyfit(level[good] - 3, raw[good], 1))
         latent = model.levels(flat, offsets, spoken)
-        means = [latent[level == v].mean() for v in range(1, 6)]
-        spreads = [latent[level == v].std() + 0.1 for v in range(1, 6)]
+        means = [np.nanmean(latent[level == v]) for v in range(1, 6)]
+        spreads = [np.nanstd(latent[level == v]) + 0.1 for v in range(1, 6)]
         # between neighbours, as many spreads from the one mean as from the other
         model.cuts = np.array([(means[i] * spreads[i + 1] + means[i + 1] * spreads[i]) / (spreads[i] + spreads[i + 1]) for i in range(4)])
-
-    recut()
-    for _ in range(rounds):
-        counts = corpus_counts(cut, model)
-        for k in range(len(langs)):
-            weight = REF_SHARE * counts[k].sum() / max(anchor[k].sum(), 1)
-            model.set_items(k, counts[k] + max(weight, 1.0) * anchor[k], GRID)
-        recut()
+        return latent
+
+    before = settle()
+    for _ in range(most_rounds):
+        for k, (at, easy, slope) in enumerate(item_step(corpus_counts(cut, model), anchor)):
+            model.set_items(k, at, easy, slope)
+        now = settle()
+        moved = float(np.nanmean(np.abs(now - before)))
+        if moved < TOLERANCE:
+            return model
+        before = now
+    log.warning("reading levels still move by %.3f after %d rounds", moved if most_rounds else 0.0, most_rounds)
     return model
 
 
