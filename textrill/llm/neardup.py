@@ -11,10 +11,10 @@
 3. Representatives that agree in all ``DEPTH`` values of one of ``BANDS`` bands
    become candidates. An aggregation over the band keys gives the pair of a key
    that two rows share; only keys of three rows or more are joined with their
-   rows, which bring size and sketch along, so that what is too far apart ends
-   where the pair is made. Keys of over ``BLOCK`` rows are first split by size
-   class, as sets at the threshold differ in size by no more than one class, which
-   loses nothing; what is still large is split into blocks, and blocks compared with
+   rows. Rows of keys over ``BLOCK`` rows bring size and sketch along, so that what is
+   too far apart ends where the pair is made. Such keys are first split by size class,
+   as sets at the threshold differ in size by no more than one class, which loses nothing;
+   what is still large is split into blocks, and blocks compared with
    blocks, so no task holds a whole group. Candidates whose sketches put the
    similarity under the threshold less ``SLACK``, five standard deviations of the
    estimate, end there, as do those whose sizes alone keep them under the threshold.
@@ -188,21 +188,26 @@ def _may_be_near(threshold: float):
 def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a_id, b_id): pairs that share a band key and whose sizes and sketches come near enough; each pair once.
 
-    ``reps`` is a materialized table of id, n, sketch and bands.
+    ``reps``: id, n, sketch and bands.
     """
     banded = reps.select("id", F.explode("bands").alias("band"))
     shared = materialize(banded.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("a_id"), F.max("id").alias("b_id")).filter("size > 1"), "p5-bands")
-    crowded = small(materialize(shared.filter("size > 2").select("band", (F.col("size") > BLOCK).alias("hot")), "p5-crowded"))
+    few = small(materialize(shared.filter(F.col("size").between(3, BLOCK)).select("band"), "p5-crowded"))
+    rows = materialize(banded.join(few, "band"), "p5-rows")
+    within = rows.toDF("band", "a_id").join(rows.toDF("band", "b_id"), "band").filter("a_id < b_id").select("a_id", "b_id")
+    pairs = shared.filter("size = 2").select("a_id", "b_id").unionAll(within).distinct()
+    ends = reps.select("id", "n", "sketch")
+    near = pairs.join(ends.toDF("a_id", "a_n", "a_sketch"), "a_id").join(ends.toDF("b_id", "b_n", "b_sketch"), "b_id").filter(_may_be_near(threshold)).select("a_id", "b_id")
+    hot = shared.filter(F.col("size") > BLOCK).select("band")  # one key in BLOCK rows at most
+    if hot.limit(1).isEmpty():
+        return near
     # a hot key's rows meet in their own size class and the next one, each pair in one of them
     step = F.floor(F.log("n") / F.lit(float(-np.log(threshold)))).cast("int")
-    slots = F.when(F.col("hot"), F.array(F.struct(step.alias("slot"), F.lit(True).alias("own")), F.struct((step + 1).alias("slot"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.lit(0).alias("slot"), F.lit(True).alias("own"))))
-    rows = reps.select("id", "n", "sketch", F.explode("bands").alias("band")).join(crowded, "band").select("id", "n", "sketch", "band", F.inline(slots))
-    rows = materialize(rows.select(F.xxhash64("band", "slot").alias("key"), "id", "n", "sketch", "own"), "p5-rows")
-    more = pairs_within(rows, "key", "id", ["n", "sketch", "own"]).filter((F.col("a_own") | F.col("b_own")) & _may_be_near(threshold))
-    ends = reps.select("id", "n", "sketch")
-    pairs = shared.filter("size = 2").select("a_id", "b_id").distinct()
-    two = pairs.join(ends.toDF("a_id", "a_n", "a_sketch"), "a_id").join(ends.toDF("b_id", "b_n", "b_sketch"), "b_id").filter(_may_be_near(threshold))
-    return two.select("a_id", "b_id").unionAll(more.select("a_id", "b_id")).distinct()
+    slots = F.inline(F.array(F.struct(step.alias("slot"), F.lit(True).alias("own")), F.struct((step + 1).alias("slot"), F.lit(False).alias("own"))))
+    placed = reps.select("id", "n", "sketch", F.explode("bands").alias("band")).join(small(hot), "band").select("id", "n", "sketch", "band", slots)
+    placed = materialize(placed.select(F.xxhash64("band", "slot").alias("key"), "id", "n", "sketch", "own"), "p5-hot")
+    more = pairs_within(placed, "key", "id", ["n", "sketch", "own"]).filter((F.col("a_own") | F.col("b_own")) & _may_be_near(threshold))
+    return near.unionAll(more.select("a_id", "b_id")).distinct()
 
 
 def links(found: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +218,7 @@ def links(found: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     first = found.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = materialize(found.select("id", "class").join(first, "class").select("id", "rep", "copies"), "p5-members")
     copies = small(materialize(members.filter("id <> rep").select("id"), "p5-copies"))
-    reps = materialize(found.select("id", "n", "sketch", "bands").join(copies, "id", "left_anti"), "p5-reps")
+    reps = found.select("id", "n", "sketch", "bands").join(copies, "id", "left_anti")
     near = materialize(candidates(reps, threshold), "p5-near")
     wanted = small(materialize(near.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "p5-wanted"))
     sets = found.select("id", "n", "shingles").join(wanted, "id", "left_semi")
