@@ -47,6 +47,7 @@ def test_nested(fixer):
     table = E._table("cp1252")
     once = lambda s: "".join(chr(b) if b < 128 else table[b] for b in s.encode("utf-8"))
     assert fixer.repair(once(once(CLEAN[0])))[0] == CLEAN[0]
+    assert fixer.repair("vor dem Haus, das Ma" + once(once("ß")) + "e, schlie" + once(once("ß")) + "t")[0] == "vor dem Haus, das Maße, schließt"
     assert fixer.repair("say " + once(once("“other”")) + " word")[0] == "say “other” word"
 
 

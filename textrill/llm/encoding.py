@@ -300,7 +300,8 @@ class Judge:
             for (pattern, back), name in zip(_utf8_rules(), (*LEGACY, "latin_1")):
                 new, n = _undo_utf8(text, pattern, back)
                 if n:
-                    rank = (self.counts.cost(new), len(new))
+                    # what is still a sequence may be undone by the next layer, so it costs nothing here
+                    rank = (self.counts.word_cost(new), len(new))
                     if best is None or rank < best[0]:
                         best = (rank, new, name)
             if best is None:
