@@ -26,6 +26,8 @@ class Config:
     profile: str = "fts5"
     #: Most bytes of distinct words a document may bring into the index; more text is halved. None for no limit.
     ceiling_bytes: int | None = None
+    #: Whether tsquery ranks by cover density with title weights; by BM25 otherwise.
+    cover_density: bool = True
     #: Settings as they were stored: an unknown profile is told by the health card and refused by searches.
     lenient: bool = False
 

@@ -114,7 +114,7 @@ class SearchEngine:
     def _hits(self, query: Compiled) -> DataFrame:
         """The matching documents with the rank of the profile, from the stored index: cover density under tsquery."""
         post, stats = self.store.read("postings"), self.store.read("doc_stats")
-        return cover.cover_hits(post, stats, query) if query.profile == "tsquery" else match.index_hits(post, stats, query)
+        return cover.cover_hits(post, stats, query) if query.profile == "tsquery" and self.config.cover_density else match.index_hits(post, stats, query)
 
     def _supported(self) -> None:
         if self.config.profile not in PROFILES:

@@ -16,22 +16,16 @@ whoever searches.
 from __future__ import annotations
 
 from functools import reduce
-from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textrill.functions.text import occurrences, padded, padded_words, tokens
 from textrill.operators.index import TITLE
-from textrill.plans.query import MUST, MUST_NOT, SHOULD, Compiled, Unit
+from textrill.operators.profiles import IDF_FLOOR, K1, B, bm25, profile_of  # noqa: F401 - also used from here
+from textrill.plans.query import MUST_NOT, Compiled, Unit
 from textrill.runtime import spread
 
-K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-# The default stop words of the boolean profile's engine.
-STOPWORDS = frozenset("a about an are as at be by com de en for from how i in is it la of on or that the this to was what when where who will with und the www".split())
-MIN_TOKEN = 3
-
-
 def unit_tf(unit: Unit, fields: list[Column], words: list[Column]) -> Column:
     """How often a unit occurs in the padded ``fields``; ``words`` are the fields' token arrays for overlapping phrases."""
     if not unit.words:
@@ -61,41 +55,13 @@ def _phrase_count(words: Column, unit: Unit) -> Column:
 
 def accepts(query: Compiled, tf: dict[int, Column]) -> Column:
     """The match predicate over the units' counts, by the profile's rules."""
-    should = [i for i, u in enumerate(query.units) if u.occur == SHOULD]
-    must = [i for i, u in enumerate(query.units) if u.occur == MUST]
-    not_ = [i for i, u in enumerate(query.units) if u.occur == MUST_NOT]
-    hit = lambda i: tf[i] > 0
-    any_of = lambda ids: reduce(lambda a, b: a | b, [hit(i) for i in ids])
-    parts = []
-    if query.profile == "boolean":
-        if not should and not must:
-            return F.lit(False)
-        if should and not must:
-            parts.append(any_of(should))
-    else:
-        if should:
-            parts.append(any_of(should))
-        if not should and not must and (query.profile == "fts5" or not not_):
-            return F.lit(False)
-    parts += [hit(i) for i in must] + [~hit(i) for i in not_ if query.units[i].words]
-    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
-
-
-def idf(n_docs: int, n: int) -> float:
-    value = log((n_docs - n + 0.5) / (n + 0.5))
-    return value if value > 0 else IDF_FLOOR
-
-
-def bm25(tf: Column, idf_: Column | float, length: Column, avg_len: Column | float) -> Column:
-    return F.lit(idf_) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / F.lit(avg_len)))
+    return profile_of(query.profile).accepts(query, tf)
 
 
 def _unit_filter(query: Compiled) -> Compiled:
-    """Under the boolean profile, words too short or too common to be indexed are left out."""
-    if query.profile != "boolean":
-        return query
-    kept = tuple(u for u in query.units if len(u.words) > 1 or u.prefix or (len(u.words[0]) >= MIN_TOKEN and u.words[0] not in STOPWORDS))
-    return Compiled(query.profile, kept, query.text, query.browse)
+    """The query without units whose words the profile does not index."""
+    keeps = profile_of(query.profile).keeps
+    return Compiled(query.profile, tuple(u for u in query.units if keeps(u)), query.text, query.browse)
 
 
 def counted(docs: DataFrame, query: Compiled, title: str, content: str, id: str = "id") -> DataFrame:
@@ -108,25 +74,17 @@ def counted(docs: DataFrame, query: Compiled, title: str, content: str, id: str
     base = spread(docs.select(F.col(id).alias("id"), F.col(title).alias("_t"), F.col(content).alias("_c"))).select("id", F.inline(F.array(F.struct(*made))))
     length = (padded_words(F.col("f0")) + padded_words(F.col("f1"))).alias("len")
     fields, words = [F.col("f0"), F.col("f1")], [F.col("w0"), F.col("w1")]
-    if query.profile == "tsquery":  # one vector: a phrase may cross from title to content
+    if not profile_of(query.profile).gap:  # one vector: a phrase may cross from title to content
         base = base.withColumn("f", F.concat("f0", "f1"))
         fields, words = [F.col("f")], [F.concat(*words)]
     return base.select("id", length, *[unit_tf(u, fields, words).alias(f"tf_{i}") for i, u in enumerate(query.units)])
 
 
 def score(query: Compiled, n_docs: int, avg_len: float, n: list[int]) -> Column:
-    """The rank of a matched row: BM25, or tf * idf^2 under the boolean profile. Excluded terms add nothing."""
-    parts = [F.lit(0.0)]
-    for i, u in enumerate(query.units):
-        if u.occur == MUST_NOT or not u.words:
-            continue
-        tf = F.col(f"tf_{i}")
-        if query.profile == "boolean":
-            weight = log(n_docs / n[i], 10) ** 2 if n[i] else 0.0
-            parts.append(tf * F.lit(weight))
-        else:
-            parts.append(bm25(tf, idf(n_docs, n[i]), F.col("len"), avg_len or 1.0))
-    return reduce(lambda a, b: a + b, parts)
+    """The rank of a matched row. Excluded terms add nothing."""
+    worth = profile_of(query.profile).worth
+    ranked = [i for i, u in enumerate(query.units) if u.occur != MUST_NOT and u.words]
+    return reduce(lambda a, b: a + b, [worth(F.col(f"tf_{i}"), F.col("len"), n_docs, avg_len, n[i]) for i in ranked], F.lit(0.0))
 
 
 def scan_hits(docs: DataFrame, query: Compiled, title: str = "title", content: str = "content", id: str = "id") -> DataFrame:
@@ -154,7 +112,7 @@ def unit_counts(post: DataFrame, query: Compiled, places: bool = False) -> DataF
     into the other, otherwise a gap between them keeps phrases within a field. With ``places``
     there is also places_i, where each unit stands.
     """
-    gap = 0 if query.profile == "tsquery" else 1
+    gap = profile_of(query.profile).gap
     at = F.transform("positions", lambda x: x + F.when(F.col("field") == TITLE, 0).otherwise(F.col("title_len") + gap))
     exact, begun, columns = set(), set(), []
 
