@@ -24,7 +24,7 @@ from textrill.operators.access import token_column
 from textrill.operators.match import B, IDF_FLOOR, K1
 from textrill.operators.search import DIGITS
 from textrill.plans.query import MUST, MUST_NOT, SHOULD, Request, compile_query, numeric_option
-from textrill.runtime import materialize
+from textrill.runtime import materialize, spread
 
 SALTS = 64
 BROADCAST_REQUESTS = 200_000
@@ -59,9 +59,8 @@ def units_of(requests: DataFrame) -> DataFrame:
 
 
 def unit_hits(units: DataFrame, post: DataFrame) -> DataFrame:
-    """(words, prefix, doc_id, tf, len) of every distinct unit with words, over the postings."""
-    distinct = units.filter("size(words) > 0").select("words", "prefix").distinct()
-    placed = distinct.select("words", "prefix", F.size("words").alias("k"), F.posexplode("words").alias("at", "word"))
+    """(uid, doc_id, tf, len) of distinct units (uid, words, prefix), over the postings; units without words hit nothing."""
+    placed = units.filter("size(words) > 0").select("uid", "prefix", F.size("words").alias("k"), F.posexplode("words").alias("at", "word"))
     exact = placed.filter("NOT (prefix AND at = k - 1)")
     # begun words: the dictionary's terms under each of their beginnings, as far as one is asked for
     begun = placed.filter("prefix AND at = k - 1")
@@ -69,20 +68,16 @@ def unit_hits(units: DataFrame, post: DataFrame) -> DataFrame:
     # only beginnings as long as one that is asked for; a row a length on the driver
     lengths = sorted(r[0] for r in asked.select(F.length("head")).distinct().collect())
     heads = post.select("term").distinct().select("term", F.explode(F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("term")), lambda n: F.substring("term", F.lit(1), n))).alias("head"))
-    terms = heads.join(asked, "head", "left_semi")
-    expanded = begun.join(terms, begun["word"] == terms["head"]).select("words", "prefix", "k", "at", "term")
-    wanted = exact.select("words", "prefix", "k", "at", F.col("word").alias("term")).unionAll(expanded)
-    met = wanted.join(post, "term")
-    single = met.filter("k = 1").groupBy("words", "prefix", "doc_id").agg(F.sum("tf").alias("tf"), F.max("len").alias("len"))
-    # a phrase starts where each of its k words stands k places on
-    starts = (
-        met.filter("k > 1")
-        .select("words", "prefix", "k", "at", "doc_id", "field", "len", F.explode("positions").alias("pos"))
-        .groupBy("words", "prefix", "k", "doc_id", "field", (F.col("pos") - F.col("at")).alias("start"))
-        .agg(F.countDistinct("at").alias("n"), F.max("len").alias("len"))
-        .filter("n = k")
-    )
-    return single.unionAll(starts.groupBy("words", "prefix", "doc_id").agg(F.count("*").alias("tf"), F.max("len").alias("len")))
+    expanded = begun.join(heads.join(asked, "head", "left_semi"), F.col("word") == F.col("head")).select("uid", "k", "at", "term")
+    wanted = materialize(exact.select("uid", "k", "at", F.col("word").alias("term")).unionAll(expanded), "batch-wanted")
+    met = spread(post).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_REQUESTS else wanted, "term")
+    single = met.filter("k = 1").groupBy("uid", "doc_id").agg(F.sum("tf").alias("tf"), F.max("len").alias("len"))
+    # fields that hold all words of a phrase; few are left to look at places
+    parts = F.collect_list(F.struct("at", F.transform("positions", lambda p: p - F.col("at")).alias("starts"))).alias("parts")
+    held = met.filter("k > 1").groupBy("uid", "k", "doc_id", "field").agg(F.max("len").alias("len"), parts).filter(F.size(F.array_distinct("parts.at")) == F.col("k"))
+    # a phrase starts where each of its k words stands k places on; a place holds one word, so each counts once
+    starts = held.select("uid", "k", "doc_id", "field", "len", F.explode(F.flatten("parts.starts")).alias("start")).groupBy("uid", "k", "doc_id", "field", "start").agg(F.count("*").alias("n"), F.max("len").alias("len")).filter("n = k")
+    return single.unionAll(starts.groupBy("uid", "doc_id").agg(F.count("*").alias("tf"), F.max("len").alias("len")))
 
 
 def facts_of(docs: DataFrame, access: DataFrame, tags: DataFrame) -> DataFrame:
@@ -96,18 +91,14 @@ def _admitted() -> str:
     return "arrays_overlap(tokens, viewer_tokens) AND (since_n IS NULL OR modified >= since_n) AND (until_n IS NULL OR modified <= until_n) AND (size(wanted) <= 0 OR coalesce(arrays_overlap(metas, wanted), false))"
 
 
-def _key(words: str = "words", prefix: str = "prefix"):
-    return F.concat(F.concat_ws(" ", words), F.when(F.col(prefix), "*").otherwise(""))
-
-
 def matches(searches: DataFrame, hits: DataFrame, n_docs: int, avg_len: float) -> DataFrame:
-    """(search_key, doc_id, score) of every distinct search with words, whoever asks it.
+    """(sid, doc_id, score) of every distinct search with words, whoever asks it.
 
-    ``searches``: search_key, unit_key, occur, musts, shoulds; ``hits``: unit_key, doc_id, tf, len.
+    ``searches``: sid, uid, occur, musts, shoulds; ``hits``: uid, doc_id, tf, len.
     """
-    n = hits.groupBy("unit_key").agg(F.count("*").alias("n"))
+    n = hits.groupBy("uid").agg(F.count("*").alias("n"))
     raw = F.log((F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weighed = searches.join(n, "unit_key").withColumn("idf", F.when(raw > 0, raw).otherwise(IDF_FLOOR))
+    weighed = searches.join(n, "uid").withColumn("idf", F.when(raw > 0, raw).otherwise(IDF_FLOOR))
     weighed = F.broadcast(weighed) if searches.count() <= BROADCAST_REQUESTS else weighed
     gain = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
 
@@ -115,34 +106,41 @@ def matches(searches: DataFrame, hits: DataFrame, n_docs: int, avg_len: float) -
         # a search's units are distinct rows, and each meets a document once
         return F.sum((F.col("occur") == occur).cast("int"))
 
-    met = hits.join(weighed, "unit_key")
-    per = met.groupBy("search_key", "doc_id").agg(
+    met = hits.join(weighed, "uid")
+    per = met.groupBy("sid", "doc_id").agg(
         F.sum(F.when(F.col("occur") != MUST_NOT, gain).otherwise(0.0)).alias("score"), of(MUST).alias("must_hits"), of(SHOULD).alias("should_hits"), of(MUST_NOT).alias("not_hits"), F.max("musts").alias("musts"), F.max("shoulds").alias("shoulds")
     )
-    return per.filter("must_hits = musts AND not_hits = 0 AND (shoulds = 0 OR should_hits > 0) AND musts + shoulds > 0").select("search_key", "doc_id", F.round("score", DIGITS).alias("score"))
+    return per.filter("must_hits = musts AND not_hits = 0 AND (shoulds = 0 OR should_hits > 0) AND musts + shoulds > 0").select("sid", "doc_id", F.round("score", DIGITS).alias("score"))
+
+
+BROWSE = -1
 
 
 def search(requests: DataFrame, docs: DataFrame, access: DataFrame, tags: DataFrame, post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(request_id, id, score) of everything each request finds, access and tags applied; refused requests find nothing."""
-    units = materialize(units_of(requests).withColumn("unit_key", _key()), "batch-units")
+    """(request_id, id, score) of everything each request finds, access and tags applied; refused requests find nothing.
+
+    Equal units and equal searches go by the number of the first request that has them (``uid``, ``sid``).
+    """
+    key = F.concat(F.concat_ws(" ", "words"), F.when(F.col("prefix"), "*").otherwise(""))
+    units = materialize(units_of(requests).withColumn("unit_key", key), "batch-units")
+    known = units.filter("unit >= 0 AND NOT beyond AND NOT refused")
+    distinct = materialize(known.groupBy("unit_key").agg(F.min(F.col("request_id") * 64 + F.col("unit")).alias("uid"), F.first("words").alias("words"), F.first("prefix").alias("prefix")), "batch-distinct")
     said = F.concat_ws("|", "occur", "unit_key")
     asked = units.filter("NOT beyond AND NOT refused").groupBy("request_id").agg(
-        F.when(F.max("browse"), F.lit("")).otherwise(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("unit", said.alias("said")))), lambda x: x["said"]))).alias("search_key"),
-        F.max("since_n").alias("since_n"),
-        F.max("until_n").alias("until_n"),
+        F.max("browse").alias("browse"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("unit", said.alias("said")))), lambda x: x["said"])).alias("search_key"), F.max("since_n").alias("since_n"), F.max("until_n").alias("until_n")
     )
-    asked = materialize(asked, "batch-asked")
-    first = asked.filter("search_key <> ''").groupBy("search_key").agg(F.min("request_id").alias("request_id"))
-    own = units.filter("unit >= 0").join(first, "request_id").select("search_key", "unit", "unit_key", "occur")
-    shape = own.groupBy("search_key").agg(F.sum((F.col("occur") == MUST).cast("int")).alias("musts"), F.sum((F.col("occur") == SHOULD).cast("int")).alias("shoulds"))
-    searches = materialize(own.join(shape, "search_key"), "batch-searches")
-    hits = materialize(unit_hits(units, post).select(_key().alias("unit_key"), "doc_id", "tf", "len"), "batch-hits")
+    first = asked.filter("NOT browse").groupBy("search_key").agg(F.min("request_id").alias("sid"))
+    asked = materialize(asked.join(first, "search_key", "left").select("request_id", F.when(F.col("browse"), BROWSE).otherwise(F.col("sid")).alias("sid"), "since_n", "until_n"), "batch-asked")
+    own = known.join(asked.filter("sid = request_id").select("request_id", "sid"), "request_id").join(distinct.select("unit_key", "uid"), "unit_key").select("sid", "uid", "occur")
+    shape = own.groupBy("sid").agg(F.sum((F.col("occur") == MUST).cast("int")).alias("musts"), F.sum((F.col("occur") == SHOULD).cast("int")).alias("shoulds"))
+    searches = materialize(own.join(shape, "sid"), "batch-searches")
+    hits = materialize(unit_hits(distinct.select("uid", "words", "prefix"), post), "batch-hits")
     n_docs, avg_len = stats.agg(F.count("*"), F.avg("len")).first()
     found = matches(searches, hits, n_docs, avg_len or 1.0)
     facts = materialize(facts_of(docs, access, tags), "batch-facts")
     rows = found.join(facts, "doc_id")
-    if not asked.filter("search_key = ''").limit(1).isEmpty():
-        rows = rows.unionByName(facts.select(F.lit("").alias("search_key"), F.lit(0.0).alias("score"), *facts.columns))
+    if not asked.filter(F.col("sid") == BROWSE).limit(1).isEmpty():
+        rows = rows.unionByName(facts.select(F.lit(BROWSE).cast("long").alias("sid"), F.lit(0.0).alias("score"), *facts.columns))
     empty = F.array().cast("array<string>")
     asks = requests.select(
         "request_id",
@@ -150,10 +148,10 @@ def search(requests: DataFrame, docs: DataFrame, access: DataFrame, tags: DataFr
         F.filter(F.coalesce("meta_tags", empty), lambda x: x.isNotNull()).alias("wanted"),
     ).join(asked, "request_id")
     if requests.count() <= BROADCAST_REQUESTS:
-        met = rows.join(F.broadcast(asks), "search_key")
+        met = rows.join(F.broadcast(asks), "sid")
     else:
         salted = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["search_key", "salt"])
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["sid", "salt"])
     return met.filter(_admitted()).select("request_id", F.col("doc_id").alias("id"), "score")
 
 
