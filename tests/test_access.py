@@ -31,3 +31,14 @@ def test_rebuild(spark):
     df = spark.createDataFrame([(["o:me", "u:a", "g:b", "c:d", "z:e", "u:f"],)], "t array<string>")
     r = df.select(A.rebuild(F.col("t")).alias("r")).first()["r"]
     assert (r["users"], r["groups"], r["circles"]) == (["a", "f"], ["b"], ["d"])
+
+
+def test_visible_totals_by_bitmaps_and_by_rows(spark, monkeypatch):
+    rows = [(i, "g:all") for i in range(0, 200_000, 7)] + [(i, "g:some") for i in (7, 8, 9, 70_001)] + [(7, "g:all"), (10**12, "u:x")]
+    access = spark.createDataFrame(rows, "doc_id long, token string")
+    viewers = spark.createDataFrame([("a", "g:all"), ("a", "g:some"), ("b", "g:some"), ("c", "u:x"), ("c", "g:none"), ("d", "g:none")], "viewer string, token string")
+    want = {"a": len({d for d, t in rows if t != "u:x"}), "b": 4, "c": 1}
+    for dense in (A.DENSE, 1, 10**9):
+        monkeypatch.setattr(A, "DENSE", dense)
+        assert {r["viewer"]: r["total"] for r in A.visible_totals(viewers, access).collect()} == want
+    assert A.visible_totals(viewers, access.limit(0)).count() == 0

@@ -1,5 +1,7 @@
 """Many requests at once against one at a time."""
 
+import pytest
+
 from textrill.operators import access as A
 from textrill.operators import batch, index, search
 from textrill.plans.query import Request
@@ -21,7 +23,9 @@ ACCESS = [(1, "g:g1"), (1, "g:g1"), (2, "u:ann"), (3, "g:g1"), (4, "g:g1"), (5,
 TAGS = [(1, "meta", "t"), (1, "meta", "t"), (2, "tag", "t"), (5, "meta", "t")]
 
 
-def test_like_single_requests(spark):
+@pytest.mark.parametrize("broadcast", [batch.BROADCAST_REQUESTS, 0])
+def test_like_single_requests(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(batch, "BROADCAST_REQUESTS", broadcast)
     docs = spark.createDataFrame([(*d, "p") for d in DOCS], "id long, title string, content string, modified long, provider_id string")
     access = spark.createDataFrame(ACCESS, "doc_id long, token string")
     tags = spark.createDataFrame(TAGS, "doc_id long, kind string, value string")

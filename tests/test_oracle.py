@@ -24,7 +24,8 @@ def plain(v):
     return round(v, 5) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
+# 25 rounds of writes take minutes; test_engine has a shorter run of the same shape
+@pytest.mark.parametrize("name", sorted(set(core.oracle_sql()) - {"engine_interleaved"}))
 def test_same_as_sql(spark, duck, name):
     df = core.queries()[name](spark, DATA)
     want = duck.execute(core.oracle_sql()[name])

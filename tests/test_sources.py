@@ -45,3 +45,18 @@ def test_streams(spark, tmp_path):
 
 def test_label():
     assert excerpt_label(' +a "b c" -d ') == 'a  b c   d'
+
+
+def test_state_over_many_micro_batches(spark, tmp_path):
+    from textrill.streaming import changes as S
+
+    schema = S.COLUMNS
+    for e in range(35):
+        rows = spark.createDataFrame([("p", f"d{e % 5}", e, "delete" if e == 33 else "index", f"t{e}", e, None), ("p", f"only{e}", e, "index", "x", e, None)], schema)
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    assert list(S._epochs(14)) == list(range(0, 15)) and list(S._epochs(15)) == [15] and list(S._epochs(17)) == [15, 16, 17] and list(S._epochs(31)) == [31]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    S.latest(stream, str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = {r["document_id"]: (r["change_id"], r["op"]) for r in S.state_after(spark, str(tmp_path / "state"), 34).collect()}
+    assert len(got) == 40
+    assert [got[f"d{i}"] for i in range(5)] == [(30, "index"), (31, "index"), (32, "index"), (33, "delete"), (34, "index")]

@@ -679,7 +679,7 @@ def extract_plain(spark, d):
 @query(_sql["replace_last_wins"])
 def stream_last_wins(spark, d):
     """The change feed as a stream: the last operation of each document, kept batch by batch."""
-    from textrill.streaming.changes import latest
+    from textrill.streaming.changes import latest, state_after
 
     source = table(spark, d, "index_changes")
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -688,10 +688,8 @@ def stream_last_wins(spark, d):
     changes = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
     run = latest(changes, f"{folder}/state", f"{folder}/checkpoint")
     run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
     epochs = [p["batchId"] for p in run.recentProgress if p["numInputRows"] > 0]
-    state = spark.read.parquet(f"{folder}/state/{max(epochs, default=last)}")
-    return state.filter("op = 'index'").select("provider_id", "document_id", "change_id", "title", "modified")
+    return state_after(spark, f"{folder}/state", max(epochs)).filter("op = 'index'").select("provider_id", "document_id", "change_id", "title", "modified")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
