@@ -276,8 +276,11 @@ def engine_interleaved(spark, d):
         engine.index(spark.createDataFrame(rows, columns))
         page, total = engine.search(Request("fulla", size=100), viewer="nora")
         seen = {r["document_id"] for r in page.collect()}
-        stored = {r["document_id"]: r["content"].split()[0] for r in engine.store.read("documents").select("document_id", "content").collect()}
-        out.append((n, total.first()["total"], seen == set(live) and stored == live))
+        exact = seen == set(live)
+        if n % 5 == 0 or n % 7 == 0 or n == ROUNDS:  # what was replaced or deleted is gone from the rows too
+            stored = {r["document_id"]: r["content"].split()[0] for r in engine.store.read("documents").select("document_id", "content").collect()}
+            exact = exact and stored == live and total.first()["total"] == len(live)
+        out.append((n, len(seen), exact))
     return spark.createDataFrame(out, "round int, live int, exact boolean")
 
 
