@@ -16,7 +16,7 @@ from textrill.engine import SearchEngine
 from textrill.errors import UnsupportedCapability
 from textrill.extract import samples
 from textrill.functions import text as X
-from textrill.operators import batch, index, ops, search
+from textrill.operators import batch, blocks, index, ops, search
 from textrill.plans.query import Request, compile_query, parse
 from textrill.queries import _BLANK_LINES, _LINES, CONTENT, TITLE, _batch, _docs, _round_trip, _sql, _stored, _tables, query, stored_index
 from textrill.runtime import forget_at_exit, shared_dir, table
@@ -80,8 +80,7 @@ _FOUND = f"""{_PARSED},
 @query(f"WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank FROM found) SELECT request_id, rank::INT AS rank, id, score FROM r JOIN asks USING (request_id) WHERE rank > o AND rank <= o + l")
 def batch_pages(spark, d):
     """The page of every request of search_requests, over all rows."""
-    found, requests = _batch(spark, d)
-    return batch.pages(found, requests)
+    return blocks.pages(table(spark, d, "search_requests"), *_tables(spark, d), TITLE, CONTENT)
 
 
 @query(f"WITH {_FOUND} SELECT r.request_id, count(f.id) AS total FROM search_requests r LEFT JOIN found f USING (request_id) GROUP BY 1")
