@@ -79,7 +79,7 @@ def _most_rows(spark, before: set) -> tuple[int, set]:
     return max((n for s, n in rows.items() if s not in before), default=0), set(rows)
 
 
-@pytest.mark.parametrize("name", ["batch_pages"])
+@pytest.mark.parametrize("name", ["batch_pages", "batch_totals"])
 def test_pairs_are_no_rows(spark, tmp_path, name):
     """400 requests that each find all of 400 documents hand on far fewer rows than the 160,000 pairs."""
     n = 400

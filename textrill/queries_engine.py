@@ -18,7 +18,7 @@ from textrill.extract import samples
 from textrill.functions import text as X
 from textrill.operators import batch, blocks, index, ops, search
 from textrill.plans.query import Request, compile_query, parse
-from textrill.queries import _BLANK_LINES, _LINES, CONTENT, TITLE, _batch, _docs, _round_trip, _sql, _stored, _tables, query, stored_index
+from textrill.queries import _BLANK_LINES, _LINES, CONTENT, TITLE, _docs, _round_trip, _sql, _stored, _tables, query, stored_index
 from textrill.runtime import forget_at_exit, shared_dir, table
 from textrill.sources import documents as sources
 from textrill.sources.store import Store
@@ -86,8 +86,7 @@ def batch_pages(spark, d):
 @query(f"WITH {_FOUND} SELECT r.request_id, count(f.id) AS total FROM search_requests r LEFT JOIN found f USING (request_id) GROUP BY 1")
 def batch_totals(spark, d):
     """The exact total of every request of search_requests."""
-    found, requests = _batch(spark, d)
-    return batch.totals(found, requests)
+    return blocks.totals(table(spark, d, "search_requests"), *_tables(spark, d), TITLE, CONTENT)
 
 
 @query(f"WITH {_PARSED} SELECT request_id, (row_number() OVER (PARTITION BY request_id ORDER BY nth) - 1)::INT AS unit, array_to_string(words, ' ') AS words, coalesce(prefix, false) AS prefix, occur FROM units")
